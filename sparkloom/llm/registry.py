@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import quality_ledger, simhash_bitslice
+from . import piece_encode, quality_ledger, retrieval_packing, simhash_bitslice
 
-MODULES = (quality_ledger, simhash_bitslice)
+MODULES = (quality_ledger, piece_encode, retrieval_packing, simhash_bitslice)
 
 
 def queries() -> dict:
