@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import piece_encode, quality_ledger, retrieval_packing, simhash_bitslice
+from . import norm_topk, piece_encode, quality_ledger, retrieval_packing, simhash_bitslice
 
-MODULES = (quality_ledger, piece_encode, retrieval_packing, simhash_bitslice)
+MODULES = (quality_ledger, piece_encode, retrieval_packing, norm_topk, simhash_bitslice)
 
 
 def queries() -> dict:
