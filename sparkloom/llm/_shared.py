@@ -60,6 +60,18 @@ def _remove_staged() -> None:
             del gone
 
 
+#: Rows that go to a Python worker at once, where texts may be long.
+ROWS_AT_ONCE = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Sets the session's Arrow batches to ``ROWS_AT_ONCE`` rows unless smaller ones are set, so that a worker's memory is bounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
+    return spark
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """``name``, or the first of ``name_1``, ``name_2``, ... that no column has (Spark ignores case)."""
     lower = {t.lower() for t in taken}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import column, table
+from ._shared import column, small_batches, table
 
 SPACE = "▁"
 
@@ -238,6 +238,7 @@ SPANS = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType() if n == "ids"
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, begins, ends): piece i covers bytes begins[i] to ends[i] of the text."""
     model = model or default_model()
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf(SPANS)
     def spans(text: pd.Series) -> pd.DataFrame:
@@ -268,6 +269,7 @@ def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
     ``source_bytes`` is the end of the last span.
     """
     model = model or default_model()
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf(DIGESTS)
     def digest(text: pd.Series) -> pd.DataFrame:

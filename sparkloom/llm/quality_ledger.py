@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import column, fresh, table
+from ._shared import column, fresh, small_batches, table
 
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -113,6 +113,7 @@ def failure_bits(at: str = "") -> Column:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, the measurements and ``failed`` (bits)."""
+    small_batches(docs.sparkSession)
     measured = docs.select(column(id_col).alias("doc_id"), measure(column(text_col)).alias("m")).select("doc_id", "m.*")
     return measured.withColumn("failed", failure_bits())
 
@@ -151,6 +152,7 @@ def ablation(rows: DataFrame, version: str = "v1") -> DataFrame:
 
 def filter_documents(docs: DataFrame, version: str = "v1", text_col: str = "text") -> DataFrame:
     """The documents that pass the policy, with the columns they came with."""
+    small_batches(docs.sparkSession)
     m = fresh("measured", docs.columns)
     return docs.withColumn(m, measure(column(text_col))).filter(passes(POLICIES[version], failure_bits(f"{m}."))).select(*map(column, docs.columns))
 

@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import norm_topk, piece_encode, quality_ledger, retrieval_packing, simhash_bitslice
+from . import norm_topk, piece_encode, quality_ledger, retrieval_packing, simhash_bitslice, toxicity_nbsvm, warc_store
 
-MODULES = (quality_ledger, piece_encode, retrieval_packing, norm_topk, simhash_bitslice)
+MODULES = (quality_ledger, warc_store, toxicity_nbsvm, piece_encode, retrieval_packing, norm_topk, simhash_bitslice)
 
 
 def queries() -> dict:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import column, fresh, shared_dir, staged, table
+from ._shared import column, fresh, shared_dir, small_batches, staged, table
 
 SEED = 42
 SHINGLE = 3
@@ -280,6 +280,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     prints = staged(docs.select(column(id_col).alias("doc_id"), fingerprint_column(column(text_col)).alias("fp")), "prints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct))
