@@ -1,8 +1,8 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import host_reputation, line_chunks, norm_topk, piece_encode, quality_ledger, retrieval_packing, simhash_bitslice, toxicity_nbsvm, warc_store
+from . import host_reputation, line_chunks, norm_topk, piece_encode, quality_ledger, quote_linking, retrieval_packing, simhash_bitslice, toxicity_nbsvm, warc_store
 
-MODULES = (quality_ledger, warc_store, toxicity_nbsvm, piece_encode, retrieval_packing, host_reputation, norm_topk, line_chunks, simhash_bitslice)
+MODULES = (quote_linking, quality_ledger, warc_store, toxicity_nbsvm, piece_encode, retrieval_packing, host_reputation, norm_topk, line_chunks, simhash_bitslice)
 
 
 def queries() -> dict:
