@@ -5,10 +5,11 @@
    themselves; what is left over (its *rest*) is packed with other documents'.
 2. Document frequencies of all ids over all documents; the vocabulary bounds
    that table, so it is sent to every task.
-3. Routing: each rest goes to the route of the id that has most BM25 weight in it,
-   so that rests that share their most telling id meet. Counts per route (at most
-   one per id of the vocabulary) fix the shards: a large route is split by a hash,
-   small ones join up, and each shard has about ``SHARD`` rests at any corpus size.
+3. Routing: each rest goes to the route of its largest id. A BPE numbers its pieces
+   by falling frequency, so that is its rarest piece, and rests that share it meet.
+   Counts per route (at most one per id of the vocabulary) fix the shards: a large
+   route is split by a hash, small ones join up, and each shard has about ``SHARD``
+   rests at any corpus size.
 4. In each shard an inverted index answers BM25 queries: the longest unused rest
    seeds a window, its heaviest ids are the query, and unused neighbours fill
    the window in order of score; the last one is cut where the window ends and
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import column, staged, table
+from ._shared import column, small_batches, staged, table
 
 END = 1
 WINDOW = 2048
@@ -67,7 +68,7 @@ class Vocabulary:
             stored = json.load(file)
         added = [t["content"] for t in stored["added_tokens"]]
         vocabulary = stored["model"]["vocab"]
-        self.size = max(vocabulary.values()) + 1
+        self.size = max(*vocabulary.values(), *(t["id"] for t in stored["added_tokens"]), END) + 1
         # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in printable}
@@ -88,11 +89,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
+TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("route", T.LongType()), T.StructField("spread", T.LongType())])
 
 
-def tokenise(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, ids): ids with the end id, as little-endian unsigned 32-bit numbers, deflated."""
+def tokenise(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n, ids, route, spread): the ids with the end id, packed; the rest's route (-1 without a rest); a hash of the ids."""
     path = path or default_vocabulary()
 
     @F.pandas_udf(T.StructType(TOKENS.fields[1:]))
@@ -100,21 +101,26 @@ def tokenise(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
         use = vocabulary(path)
         rows = []
         for t in text:
-            ids = np.append(use.ids(t or ""), np.uint32(END)).astype("<u4")
-            rows.append((len(ids), pack_ids(ids)))
-        return pd.DataFrame(rows, columns=["n", "ids"])
+            ids = np.append(use.ids(t or ""), np.uint32(END))
+            rest = ids[len(ids) // window * window :]
+            packed = pack_ids(ids, use.size)
+            rows.append((len(ids), packed, int(rest.max()) if len(rest) else -1, xxhash.xxh3_64_intdigest(packed) >> 1))
+        return pd.DataFrame(rows, columns=TOKENS.names[1:])
 
     return docs.select(column(id_col).alias("doc_id"), tokens(column(text_col)).alias("t")).select("doc_id", "t.*")
 
 
-def pack_ids(ids: np.ndarray) -> bytes:
-    """Byte planes apart, then deflated: high bytes are mostly zero."""
-    return zlib.compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def pack_ids(ids: np.ndarray, size: int) -> bytes:
+    """Deflated little-endian numbers of two bytes where the vocabulary allows it, else of four."""
+    return zlib.compress(ids.astype(_number(size)).tobytes(), 1)
 
 
-def unpack_ids(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+def unpack_ids(packed: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), _number(size)).astype("<u4")
+
+
+def _number(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def _frequencies(size: int):
@@ -123,7 +129,7 @@ def _frequencies(size: int):
         n = total = 0
         for frame in frames:
             for packed in frame["ids"]:
-                ids = unpack_ids(packed)
+                ids = unpack_ids(packed, size)
                 df[np.unique(ids)] += 1
                 n += 1
                 total += len(ids)
@@ -151,28 +157,6 @@ def weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray,
     return terms, idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
 
 
-RESTS = T.StructType([*TOKENS.fields, T.StructField("start", T.LongType()), T.StructField("route", T.LongType()), T.StructField("spread", T.LongType())])
-
-
-def _rests(shared, window: int):
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf, mean = shared.value
-        for frame in frames:
-            rows = []
-            for doc_id, n, packed in zip(frame["doc_id"], frame["n"], frame["ids"]):
-                ids = unpack_ids(packed)
-                start = len(ids) // window * window
-                rest = ids[start:]
-                route = -1  # nothing is left over
-                if len(rest):
-                    terms, weight = weights(rest, idf, mean)
-                    route = int(terms[np.argmax(weight)])
-                rows.append((doc_id, n, packed, start, route, xxhash.xxh3_64_intdigest(packed) >> 1))
-            yield pd.DataFrame(rows, columns=RESTS.names).astype({"doc_id": "Int64"})
-
-    return cut
-
-
 def plan_shards(counts: dict[int, int], size: int = SHARD) -> dict[int, tuple[int, int]]:
     """Route -> (its first shard, how many shards it is split into)."""
     out, shard, held = {}, 0, 0
@@ -255,15 +239,17 @@ SHARD_IDS = 1 << 32
 def _pack(shared, window: int):
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         idf, mean = shared.value
+        size = len(idf)
         frame = frame.sort_values(["doc_id", "spread", "n"], kind="stable", na_position="first")
         rows, rests, sequence = [], [], int(frame["shard"].iloc[0]) * SHARD_IDS
-        for doc_id, n, packed, start in zip(frame["doc_id"], frame["n"], frame["ids"], frame["start"]):
-            ids = unpack_ids(packed)
-            for at in range(0, int(start), window):
+        for doc_id, n, packed in zip(frame["doc_id"], frame["n"], frame["ids"]):
+            ids = unpack_ids(packed, size)
+            start = len(ids) // window * window
+            for at in range(0, start, window):
                 rows.append((doc_id, at, window, zlib.crc32(ids[at : at + window].tobytes()), n, sequence, 0))
                 sequence += 1
             if start < len(ids):
-                rests.append((doc_id, n, int(start), ids[int(start) :]))
+                rests.append((doc_id, n, start, ids[start:]))
         if rests:
             index = Index([r[3] for r in rests], idf, mean)
             for filled in fill_windows([len(r[3]) for r in rests], index.neighbours, window):
@@ -280,20 +266,15 @@ def _pack(shared, window: int):
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces: which ids of which document lie where in which sequence."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     path = path or default_vocabulary()
-    tokens = staged(tokenise(docs, path, id_col, text_col), "tokens")
+    tokens = staged(tokenise(docs, path, window, id_col, text_col), "tokens")
     shared = spark.sparkContext.broadcast(corpus_statistics(tokens, vocabulary(path).size))
-    rests = tokens.mapInPandas(_rests(shared, window), RESTS)
-    counts = {r["route"]: r["n"] for r in rests.groupBy("route").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    plan = plan_shards(counts)
-    shards = spark.createDataFrame(
-        [(r, first, parts) for r, (first, parts) in plan.items()],
-        "route long, first long, parts long",
-    )
-    # at most one row per id of the vocabulary, and one for "nothing left over"
-    placed = rests.join(F.broadcast(shards), "route").withColumn("shard", F.col("first") + F.pmod("spread", "parts"))
-    return placed.select("shard", *TOKENS.names, "start", "spread").groupBy("shard").applyInPandas(_pack(shared, window), PIECES)
+    counts = {r["route"]: r["n"] for r in tokens.groupBy("route").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
+    shards = spark.createDataFrame([(r, first, parts) for r, (first, parts) in plan_shards(counts).items()], "route long, first long, parts long")
+    # at most one row per id of the vocabulary, and one for "no rest"
+    placed = tokens.join(F.broadcast(shards), "route").withColumn("shard", F.col("first") + F.pmod("spread", "parts"))
+    return placed.select("shard", "doc_id", "n", "ids", "spread").groupBy("shard").applyInPandas(_pack(shared, window), PIECES)
 
 
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
