@@ -1,0 +1,49 @@
+from collections import Counter
+
+from hypothesis import given
+from hypothesis import strategies as st
+
+from sparkloom.llm import quality_ledger as m
+
+CLEAN = " ".join(f"word{i} and other{i * 7}" for i in range(40))
+TEXTS = [
+    None, "", " \n\t ", "one", CLEAN, CLEAN + "\n" + CLEAN, "a b c a b c a b c " * 20, "# $ % & | < >\n" * 30,
+    "x" * 5000, "same line\n" * 40, "é中 \x1f b " * 60, " ".join(["aa"] * 3), "w\r\nw\r\n\x0bw",
+]
+
+
+def docs(spark, texts=TEXTS):
+    return spark.createDataFrame([(None if i == 3 else i, t, "x", 1, 2) for i, t in enumerate(texts)] + [(0, "again", None, None, None)], "doc_id long, text string, n_words string, failed int, measured int")
+
+
+def test_same_as_sql(spark, oracle, same):
+    df = docs(spark)
+    got = m.apply_policy(m.ledger(df)).withColumn("base_failed", ~m.passes(m.POLICIES["base"]))
+    same(got, oracle(m.ORACLES["op2_quality_ledger"], documents=df))
+
+
+@given(st.lists(st.sampled_from("ab"), max_size=30))
+def test_repeated_words(words):
+    windows = list(zip(words, words[1:], words[2:]))
+    counts = Counter(windows)
+    covered = {i + j for i, w in enumerate(windows) if counts[w] > 1 for j in range(3)}
+    assert m.measure_text(" ".join(words))[4] == len(covered)
+
+
+def test_ablation(spark):
+    rows = m.apply_policy(m.ledger(docs(spark))).collect()
+    policy = m.POLICIES["v1"]
+    for r in m.ablation(m.ledger(docs(spark))).collect():
+        bit = m.BIT[r["rule"]]
+        hits = [x["failed"] & policy.mask for x in rows]
+        assert (r["n_docs"], r["n_kept"]) == (len(rows), hits.count(0))
+        assert r["n_failed"] == sum(bool(h & bit) for h in hits)
+        assert r["n_alone"] == hits.count(bit)
+        assert r["n_kept_without"] == sum(not h & ~bit for h in hits)
+
+
+def test_filter_keeps_columns(spark):
+    kept = m.filter_documents(docs(spark))
+    assert kept.columns == docs(spark).columns
+    assert CLEAN in [r["text"] for r in kept.collect()]
+    assert m.filter_documents(docs(spark).limit(0)).collect() == []
