@@ -1,0 +1,55 @@
+import hashlib
+
+import pyarrow.parquet as pq
+from sentencepiece import SentencePieceNormalizer, SentencePieceProcessor
+
+from sparkloom.llm import piece_encode as m
+
+ODD = [None, "", " ", "   ", "  two  spaces ", "▁ x▁ ▁▁y", "\n\n a\tb\u3000c\r\n", "😀é\u0301 ｶﾞ ① ﬁ", "<s> </s> <unk> <0x41>", "\x00a\x01", "a" * 4000, "123 4567", "word " * 3000, "\u200bz\ufeff"]
+
+
+def test_as_the_library(spark, sf_dir):
+    texts = ODD + pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()
+    rows = [(None if i == 2 else i, t, "x") for i, t in enumerate(texts)] + [(5, "again", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    library = SentencePieceProcessor(model_file=m.default_model())
+    expected = []
+    for i, t, _ in rows:
+        ids = library.encode(t or "")
+        expected.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest(), len((t or "").encode())))
+    assert sorted(map(tuple, m.digests(df).collect()), key=str) == sorted(expected, key=str)
+    assert m.digests(df.limit(0)).collect() == []
+
+
+def test_spans_cover_the_source(spark):
+    library = SentencePieceProcessor(model_file=m.default_model())
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    decoded = {r["doc_id"]: r for r in m.decode(m.encode(df)).collect()}
+    for i, t in enumerate(ODD):
+        r, raw = decoded[i], (t or "").encode()
+        assert r["decoded"] == library.decode(library.encode(t or ""))
+        assert r["begins"][:1] in ([0], []) and r["begins"][1:] == r["ends"][:-1] and (not raw or r["ends"][-1] == len(raw))
+        for id_, a, b in zip(r["ids"], r["begins"], r["ends"]):
+            piece = library.id_to_piece(id_)
+            if not library.is_byte(id_) and a:
+                assert raw[a:b].decode().replace(" ", "▁") == piece
+
+
+def test_character_map_against_the_library():
+    library = SentencePieceNormalizer(rule_name="nmt_nfkc")
+    normal = m.Normalizer(next(v for k, v in m._fields(library.serialized_model_proto()) if k == 3))
+    assert normal.map.units
+    for t in [*filter(None, ODD), "ｶﾞ ① ㌔ ﷺ", "  Ａｂ\u3000c  ", "½ Å", "a\u00ad\u200bb"]:
+        got, offsets = normal.aligned(t)
+        assert got.replace("▁", " ").strip() == library.normalize(t).replace("▁", " ").strip()
+        raw = t.encode()
+        assert len(offsets) == len(got.encode()) + 1 and list(offsets) == sorted(offsets) and offsets[-1] <= len(raw)
+    _, offsets = normal.aligned("x①y")
+    assert list(offsets)[-4:] == [0, 1, 4, 5]
+
+
+def test_segment_cache_starts_anew():
+    made = []
+    cache = m.Segments(lambda s: made.append(s) or len(s), most=2)
+    assert [cache[s] for s in ("a", "bb", "a", "ccc", "a", "d" * 99)] == [1, 2, 1, 3, 1, 99]
+    assert made == ["a", "bb", "ccc", "a", "d" * 99] and len(cache) == 2
