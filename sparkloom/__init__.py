@@ -1,0 +1 @@
+"""Hybrid document retrieval and text analytics on Spark DataFrames."""
