@@ -138,11 +138,12 @@ def removals(docs: DataFrame) -> DataFrame:
     per_hash = staged(per_hash.filter("n_classes > 1 or n > 1"), "perhash")
     # all chunks of the hash have the same bytes: places are enough
     alike = per_hash.filter("n_classes = 1").select("h", "kept")
-    going = meta.join(alike, "h").filter(place != F.col("kept")).select(*PLACE.names)
-    # one hash, different bytes: place by place
-    mixed = classes.join(per_hash.filter("n_classes > 1").select("h"), "h").filter("n > 1").select("h", "bytes", "kept")
-    also = sent.join(mixed, ["h", "bytes"]).filter(place != F.col("kept")).select(*PLACE.names)
-    return going.unionAll(also).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("firsts"))
+    going = meta.join(alike.hint("merge"), "h").filter(place != F.col("kept")).select(*PLACE.names)
+    several = per_hash.filter("n_classes > 1").select("h")
+    if not several.isEmpty():  # one hash, different bytes: place by place
+        mixed = classes.join(several, "h").filter("n > 1").select("h", "bytes", "kept")
+        going = going.unionAll(sent.join(mixed, ["h", "bytes"]).filter(place != F.col("kept")).select(*PLACE.names))
+    return going.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("firsts"))
 
 
 CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -169,7 +170,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other = {n: fresh(n, docs.columns) for n in PLACE.names[:2] + ["firsts"]}
     gone = gone.select(*(F.col(n).alias(new) for n, new in other.items()))
     on = column(id_col).cast("long").eqNullSafe(gone[other["doc_id"]]) & (F.xxhash64(column(text_col)) == gone[other["text_hash"]])
-    joined = docs.join(gone, on, "left")
+    joined = docs.join(gone.hint("merge"), on, "left")  # one plan at every size
     return joined.select(*(column(c) for c in docs.columns), cut(column(text_col), F.col(other["firsts"])).alias(fresh("deduplicated", docs.columns)))
 
 
