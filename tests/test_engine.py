@@ -1,0 +1,177 @@
+import json
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.operators import embedder
+from sparkloom.plans import changes
+from sparkloom.plans.engine import Engine
+from sparkloom.plans.store import Store
+from sparkloom.streaming import changes as stream
+
+FILES = [
+    ("/home/birds/heron notes.txt", "Herons nest in reeds. The heron is grey and feeds at night by the lock.", 100.0),
+    ("/home/birds/otter.md", "Otters swim in the river. An otter hunts fish by the weir.", 200.0),
+    ("/home/birdsong/list.txt", "Blackbird, robin and wren sing at dawn.", 300.0),
+    ("/home/birds/broken.pdf", None, 400.0),
+]
+
+
+def files(spark, rows=FILES):
+    return spark.createDataFrame([(p, t, m, len(t or "")) for p, t, m in rows], "path string, text string, modified_time double, size long")
+
+
+def paths(df):
+    return [r["path"] for r in df.collect()]
+
+
+@pytest.fixture
+def engine(spark, tmp_path):
+    made = Engine(spark, str(tmp_path / "index"))
+    assert made.mode() == "unavailable" and made.health() == "unhealthy"
+    assert made.index(files(spark), now=1000.0)["indexed"] == 4
+    return made
+
+
+def test_search(engine):
+    assert engine.mode() == "hybrid" and engine.info() == {"documents": 4, "chunks": 3}
+    top = engine.search("heron notes", 5, now=1000.0, alpha=0.0).collect()
+    assert top[0]["path"] == "/home/birds/heron notes.txt" and "<mark>" in top[0]["snippets"][0]["highlighted"]
+    assert paths(engine.search("otter river", 5, alpha=0.0, types="md")) == ["/home/birds/otter.md"]
+    assert paths(engine.search("otter river", 5, alpha=0.0, folder="/home/birdsong")) == []
+    assert paths(engine.search("sing", 5, alpha=0.0, filter_mode="pre", folder="/home/birdsong")) == ["/home/birdsong/list.txt"]
+    assert len(paths(engine.search("night", 3, sort="size"))) == 3
+    exact = engine.search("Blackbird, robin and wren sing at dawn.", 1, alpha=1.0).collect()
+    assert exact[0]["path"] == "/home/birdsong/list.txt"
+    assert engine.answer("where does the heron nest now?", alpha=0.0, limit=5)
+    assert engine.answer("heron", alpha=0.0) is None
+    simple = engine.simple_search("otters", 2).collect()
+    assert [r["rank"] for r in simple] == [1, 2]
+    with pytest.raises(ValueError):
+        engine.search("x", 0)
+    flipped = engine.search("heron", 3, alpha=0.0, rerank=lambda q, df: df.withColumn("score", -F.col("score")))
+    assert flipped.count() >= 1
+
+
+def test_related(engine):
+    assert engine.related(99).collect() == []
+    ids = {r["path"]: r["id"] for r in engine.table("documents").collect()}
+    assert ids["/home/birds/heron notes.txt"] not in [r["doc_id"] for r in engine.related(ids["/home/birds/heron notes.txt"]).collect()]
+
+
+def test_incremental(spark, engine):
+    before = {r["path"]: r["id"] for r in engine.table("documents").collect()}
+    again = engine.index(files(spark, [r for r in FILES if r[1]]), now=2000.0)
+    assert (again["indexed"], again["skipped"]) == (0, 3)
+    changed = [
+        ("/home/birds/heron notes.txt", FILES[0][1], 500.0),  # touched
+        ("/home/birds/otter.md", "Nothing but badgers.", 500.0),  # changed
+        ("/home/new.txt", "A new file on kingfishers.", 500.0),
+    ]
+    assert engine.index(files(spark, changed), now=3000.0)["indexed"] == 2
+    docs = {r["path"]: r for r in engine.table("documents").collect()}
+    assert {p: docs[p]["id"] for p in before} == before and len(docs) == 5
+    assert docs["/home/birds/heron notes.txt"]["modified_time"] == 500.0 and docs["/home/birds/heron notes.txt"]["indexed_time"] == 1000.0
+    assert docs["/home/birds/broken.pdf"]["indexing_state"] == "failed"
+    assert paths(engine.search("otter", 5, alpha=0.0)) == [] and paths(engine.search("badgers", 5, alpha=0.0)) == ["/home/birds/otter.md"]
+    chunk_ids = [r["chunk_id"] for r in engine.table("chunks").collect()]
+    assert len(set(chunk_ids)) == len(chunk_ids) == 4
+    assert {r["chunk_id"] for r in engine.table("embeddings").collect()} == set(chunk_ids) == {r["chunk_id"] for r in engine.table("postings").collect()}
+
+
+def test_remove(spark, engine):
+    engine.remove(folder="/home/birds")
+    assert sorted(paths(engine.table("documents"))) == ["/home/birdsong/list.txt"]
+    assert engine.table("postings").select("chunk_id").distinct().count() == engine.table("embeddings").count() == 1
+    engine.remove(spark.createDataFrame([("/home/birdsong/list.txt",)], "path string"))
+    assert engine.table("chunks").count() == 0
+    engine.index(files(spark), now=1.0)
+    engine.clear()
+    assert engine.info() == {"documents": 0, "chunks": 0}
+
+
+def test_store_versions(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.read("a") is None and store.tables() == []
+    store.commit({"a": spark.range(3), "b": spark.range(2)})
+    store.commit({"a": spark.range(5)})
+    assert (store.read("a").count(), store.read("a", 1).count(), store.read("b").count()) == (5, 3, 2)
+    # files without a manifest don't count, nor does a draft
+    spark.range(9).write.parquet(str(tmp_path / "s/a/v=3"))
+    assert store.read("a").count() == 5 and store.versions() == [1, 2]
+    store.commit({"a": spark.range(7)})
+    assert store.read("a").count() == 7
+    store.compact()
+    assert store.versions() == [3] and store.read("b").count() == 2
+    with pytest.raises(RuntimeError):
+        store._publish(3, {})
+
+
+def test_changes(spark):
+    known = spark.createDataFrame([("a", 1.0, "done", "h"), ("b", 1.0, "done", "h"), ("c", 1.0, "failed", "h"), ("d", 1.0, "indexing", "h"), ("e", 1.0, "done", None), ("f", 1.0, "done", "h"), ("gone", 1.0, "done", "h")], "path string, modified_time double, indexing_state string, content_hash string")
+    found = spark.createDataFrame([("a", 1.0, "x"), ("b", 2.0, "h"), ("c", 1.0, "h"), ("d", 0.0, "h"), ("e", 2.0, "h"), ("f", 2.0, "x"), ("new", 1.0, "h")], "path string, modified_time double, content_hash string")
+    got = {r["path"]: r["action"] for r in changes.changes(found, known).collect()}
+    assert got == {"a": "skip", "b": "touch", "c": "index", "d": "index", "e": "index", "f": "index", "new": "index"}
+    assert paths(changes.vanished(found, known)) == ["gone"]
+
+
+def test_embedder(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string")
+    rows = embedder.embed_distinct(df, embed=lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()
+    assert sorted(str(r["embedding"]) for r in rows) == ["None", "[1.0, 1.0]", "[1.0, 1.0]", "[1.0, 1.0]"]
+    v = df.select(embedder.hash_embedding(df["text"], 64).alias("v")).first()["v"]
+    assert len(v) == 64 and v[:32] == v[32:] and sum(x * x for x in v) == pytest.approx(1, abs=1e-5)
+
+
+# ------------------------------------------------------------- streams
+
+
+def events(spark, rows):
+    return spark.createDataFrame([(p, e, float(s)) for s, p, e in rows], "path string, event_type string, at double").selectExpr("path", "event_type", "timestamp_micros(cast(at * 1e6 AS bigint)) AS ts")
+
+
+def test_debounce(spark):
+    rows = events(spark, [(0, "r/a", "created"), (1, "r/a", "modified"), (2.5, "r/b", "deleted"), (5, "r/a", "deleted")])
+    got = stream.debounced(rows).orderBy("start", "path").collect()
+    assert [(r["path"], r["event_type"]) for r in got] == [("r/a", "modified"), ("r/b", "deleted"), ("r/a", "deleted")]
+    assert stream.tumbling_last(rows).count() == 3
+
+
+def test_stream_into_engine(spark, tmp_path):
+    texts = {"r/a.txt": "herons by the lock", "r/b.txt": "otters in the river"}
+    source = tmp_path / "events"
+    source.mkdir()
+
+    def say(n, *lines):
+        (source / f"{n}.json").write_text("\n".join(json.dumps({"path": p, "event_type": e, "ts": f"2024-01-01T00:00:{s:02d}Z"}) for s, p, e in lines))
+
+    engine = Engine(spark, str(tmp_path / "index"))
+
+    def read(changed):
+        known = spark.createDataFrame([(p, t, float(time.time()), len(t)) for p, t in texts.items()], "path string, text string, modified_time double, size long")
+        return changed.join(known, "path")
+
+    def run():
+        query = stream.apply_stream(stream.event_stream(spark, str(source), "1 second"), engine, read, str(tmp_path / "checkpoint"), time.time)
+        query.processAllAvailable()
+        query.stop()
+
+    say(1, (0, "r/a.txt", "created"), (1, "r/a.txt", "modified"), (1, "r/b.txt", "created"))
+    say(2, (20, "r/c.txt", "deleted"))
+    run()
+    assert sorted(paths(engine.table("documents"))) == ["r/a.txt", "r/b.txt"]
+    say(3, (30, "r/a.txt", "deleted"))
+    say(4, (59, "r/z.txt", "deleted"))
+    run()
+    assert paths(engine.table("documents")) == ["r/b.txt"]
+
+
+def test_new_texts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text("\n".join(json.dumps({"text": t, "ts": "2024-01-01T00:00:00Z"}) for t in ("a", "b", "a")))
+    rows = spark.readStream.schema("text string, ts timestamp").json(str(tmp_path / "in"))
+    query = stream.new_texts(rows).writeStream.format("memory").queryName("clip").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r["text"] for r in spark.table("clip").collect()) == ["a", "b"]

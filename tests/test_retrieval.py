@@ -1,0 +1,144 @@
+import math
+import random
+
+import pytest
+
+from sparkloom.operators import answers, bm25, collections, dense, fusion, results
+
+DOCS = [(1, "The heron nests in the reeds by the river."), (2, "An otter swims in the river at night, the river is deep."), (3, "Herons and otters share the lock."), (4, ""), (5, None), (6, "night night lock river")]
+
+
+@pytest.fixture(scope="module")
+def chunks(spark):
+    return spark.createDataFrame(DOCS, "chunk_id long, text string")
+
+
+def plain_bm25(query):
+    import re
+
+    tokens = {i: re.findall(r"[^\W_]+", (t or "").lower()) for i, t in DOCS}
+    tokens = {i: t for i, t in tokens.items() if t}
+    n, avg = len(tokens), sum(map(len, tokens.values())) / len(tokens)
+    out = {}
+    for i, own in tokens.items():
+        score = 0.0
+        for term in query.lower().split():
+            df, tf = sum(term in t for t in tokens.values()), own.count(term)
+            score += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / avg))
+        if score:
+            out[i] = round(score, 6)
+    return sorted(out.items(), key=lambda x: (-x[1], x[0]))
+
+
+@pytest.mark.parametrize("query", ["river", "river night", "the river the", "nothing"])
+def test_bm25(spark, chunks, query):
+    got = [(r["chunk_id"], r["score"]) for r in bm25.topk(bm25.build_postings(chunks), bm25.one_query(spark, query), 10).orderBy("rank").collect()]
+    assert [g[0] for g in got] == [e[0] for e in plain_bm25(query)]
+    assert [g[1] for g in got] == pytest.approx([e[1] for e in plain_bm25(query)], abs=1e-6)
+
+
+def test_delete(spark, chunks):
+    left = bm25.delete(bm25.build_postings(chunks), spark.createDataFrame([(2,)], "chunk_id long"))
+    assert {r["chunk_id"] for r in bm25.topk(left, bm25.one_query(spark, "river"), 10).collect()} == {1, 6}
+
+
+@pytest.mark.parametrize(
+    "query, ids",
+    [("river lock", {1, 2, 3, 6}), ("+river +lock", {6}), ("river -night", {1}), ('"the river"', {1, 2}), ("river AND night", {2, 6}), ("river NOT deep", {1, 6}), ("body:lock", {3, 6}), ("title:lock", set()), ('"unclosed', set()), ("-river", set()), ("", set())],
+)
+def test_grammar(chunks, query, ids):
+    postings = bm25.build_postings(chunks)
+    assert {r["chunk_id"] for r in bm25.boolean_topk(chunks, postings, query, 10).collect()} == ids
+
+
+def ranked(spark, ids):
+    return spark.createDataFrame([(0, i, r + 1) for r, i in enumerate(ids)], "query_id long, chunk_id long, rank int")
+
+
+def test_fusion(spark):
+    a, b = ranked(spark, [1, 2, 3]), ranked(spark, [2, 3, 1])
+    got = fusion.rrf([a, b]).orderBy("rank").collect()
+    assert [(r["chunk_id"], round(r["score"], 6)) for r in got] == [(2, 0.032522), (1, 0.032266), (3, 0.032002)]
+    assert [(r["bm25_rank"], r["dense_rank"]) for r in got] == [(2, 1), (1, 3), (3, 2)]
+    only = fusion.weighted_rrf(ranked(spark, [1]), ranked(spark, [2]), 0.0).collect()
+    assert [r["chunk_id"] for r in only] == [1]
+    with pytest.raises(ValueError):
+        fusion.rrf([a, b], [1.0])
+    boosted = fusion.apply_boosts(fusion.rrf([a, b]), spark.createDataFrame([(3, 1.5)], "chunk_id long, boost double")).orderBy("rank").collect()
+    assert boosted[0]["chunk_id"] == 3
+
+
+def test_boosts(spark):
+    df = spark.createDataFrame([("tax_report_2024.pdf", 1000.0)], "filename string, modified double").selectExpr("*", "'Tax report 2024 extra' AS q")
+    row = df.select(fusion.filename_boost(df["q"], df["filename"]).alias("n"), fusion.recency_boost(df["modified"], 1000.0).alias("r"), fusion.recency_boost(df["modified"], 0.0).alias("f")).first()
+    # the file name is one word, as the underscore joins
+    assert (row["n"], row["r"], row["f"]) == (1.0, 1.08, 1.08)
+    two = spark.createDataFrame([("tax report.pdf",)], "filename string").selectExpr("*", "'tax report' AS q")
+    assert two.select(fusion.filename_boost(two["q"], two["filename"])).first()[0] * 1.08 == pytest.approx(1.512)
+
+
+def test_dense(spark):
+    rng = random.Random(0)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    q = rows[17][1]
+    exact = sorted(((-sum(a * b for a, b in zip(v, q)), i) for i, v in rows))[:10]
+    assert [r["chunk_id"] for r in dense.topk(df, q, 10).collect()] == [i for _, i in exact]
+    dead = spark.createDataFrame([(17,)], "chunk_id long")
+    assert 17 not in [r["chunk_id"] for r in dense.topk(df, q, 10, tombstones=dead).collect()]
+    with pytest.raises(Exception, match="components"):
+        dense.topk(df, q[:4], 3).collect()
+    celled, model = dense.build_cells(df, 5)
+    assert {r["chunk_id"] for r in dense.probe(celled, model, q, 10, probes=5).collect()} == {i for _, i in exact}
+    assert dense.topk(df.limit(0), q, 3).collect() == []
+
+
+def test_results(spark):
+    assert results.type_set(" .PDF, md ,, ") == ["pdf", "md"]
+    with pytest.raises(ValueError):
+        results.day("yesterday")
+    with pytest.raises(ValueError):
+        results.sort_columns("colour")
+    hits = spark.createDataFrame([(0, 1, 10, 0.5), (0, 2, 10, 0.9), (0, 3, 11, 0.7), (0, 4, 10, 0.9)], "query_id long, chunk_id long, doc_id long, score double")
+    best = {r["doc_id"]: (r["chunk_id"], r["other_chunk_count"]) for r in results.best_per_file(hits).collect()}
+    assert best == {10: (2, 2), 11: (3, 0)}
+    docs = spark.createDataFrame([(1, "x" * 10_001), (2, "y")], "doc_id long, text string").selectExpr("doc_id", "text", "0 AS chunk_index")
+    previews = {r["doc_id"]: r["preview"] for r in results.preview(docs).collect()}
+    assert previews[1].endswith("\n\n... (truncated)") and previews[2] == "y"
+    rich = spark.createDataFrame([("word. " * 100,), ("a" * 600,), ("",)], "full string")
+    got = [(r["preview"], r["word_count"]) for r in results.rich_preview(rich).collect()]
+    assert got == [("word. " * 82 + "word.", 100), ("a" * 500 + "…", 1), ("", 0)]
+
+
+def test_answers(spark):
+    rows = [
+        (0, "where does the heron nest?", 1, "The heron builds its nest in the reeds. Nothing about it here at all.", 0.9, 1),
+        (0, "where does the heron nest?", 2, "Some say that a heron nest is large. Short heron.", 0.5, 2),
+        (1, "heron nest", 1, "The heron builds its nest in the reeds.", 0.9, 1),
+        (2, "what about the zebras?", 1, "The heron builds its nest in the reeds.", 0.9, 1),
+    ]
+    df = spark.createDataFrame(rows, "query_id long, query string, chunk_id long, text string, score double, rank int")
+    got = {r["query_id"]: r["answer"] for r in answers.extract_answers(df).collect()}
+    assert got == {0: "The heron builds its nest in the reeds. Some say that a heron nest is large."}
+
+
+def test_pairs_and_topics(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    rows += [(60, rows[3][1]), (61, [x * 2 for x in rows[4][1]])]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) ** 0.5 + 1e-8) * (sum(x * x for x in b) ** 0.5 + 1e-8))
+
+    expected = {(i, j) for i, a in rows for j, b in rows if i < j and cosine(a, b) >= 0.8}
+    for block in (7, 1024):
+        assert {(r["doc_id_a"], r["doc_id_b"]) for r in collections.duplicate_pairs(df, 0.8, None, block).collect()} == expected
+    assert {(3, 60), (4, 61)} <= expected
+    assert collections.n_topics(20) == 3 and collections.n_topics(10**6) == 12
+    assert collections.topics(df.limit(3)).collect() == []
+    assigned = collections.topics(df, tries=2)
+    assert assigned.count() == 62 and assigned.select("topic").distinct().count() == collections.n_topics(62)
+    docs = spark.createDataFrame([(i, f"report_{i}-budget {i}.pdf") for i in range(62)], "id long, filename string")
+    labels = collections.topic_labels(assigned, docs).collect()
+    assert {r["label"] for r in labels} == {"Budget / Report"} and sum(r["n"] for r in labels) == 62

@@ -1,0 +1,118 @@
+import re
+from collections import Counter
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sparkloom.functions import text as tx
+from sparkloom.operators import chunker, snippets
+
+
+def test_expansion():
+    assert tx.expand_query("ml models") == "ml models machine learning"
+    assert tx.expand_query("budget report") == "budget report budgets reports"
+    assert tx.expand_query("running tests") == "running tests runne"
+    assert tx.expand_query("running tests", keep_stems=True) == "running tests runn runne test"
+    assert tx.expand_query("one two three four five six") == "one two three four five six"
+    assert tx.expand_query("") == ""
+
+
+def test_word_lists():
+    assert [len(x) for x in (tx.QUERY_STOP_WORDS, tx.ANSWER_STOP_WORDS, tx.SNIPPET_STOP_WORDS, tx.QUESTION_STARTERS, tx.SYNONYMS)] == [33, 52, 57, 24, 17]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [("rust?", True), ("", False), (" ", False), ("what is this thing", True), ("what is this", False), ("tell me what the new plan says", True), ("tell me about the plan now please", False), ("is it", False), ("Where are the herons nesting", True)],
+)
+def test_questions(spark, text, expected):
+    assert tx.question(text) == expected
+    assert spark.range(1).select(tx.is_question(F.lit(text))).first()[0] == expected
+
+
+@pytest.mark.parametrize("query, short", [("rust ownership", True), ("what is rust", False), ("a b c d e f", False), ("one two three four", False), ("the of to", True)])
+def test_alpha(spark, query, short):
+    row = spark.range(1).select(tx.is_short_keyword(F.lit(query)), tx.effective_alpha(F.lit(query)), tx.effective_alpha(F.lit(query), override=0.9)).first()
+    assert tuple(row) == (short, 0.3 if short else 0.4, 0.9)
+    assert tx.keyword_query(query) == short
+
+
+def test_sentences(spark):
+    text = "One is here. Two follows! three not. Four?\n\nFive\n\n\nSix. "
+    got = spark.range(1).select(tx.sentences(F.lit(text))).first()[0]
+    expected = [s.strip() for part in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text) for s in re.split(r"\n{2,}", part) if s.strip()]
+    assert got == expected
+
+
+def test_key_phrases():
+    text = "Grey heron nests. The grey heron feeds near water; water birds and grey heron chicks like deep water near reeds."
+    phrases = tx.key_phrases(text)
+    assert phrases[0] == "grey heron" and "water" in phrases
+    used = [w for p in phrases for w in p.split()]
+    assert max(Counter(used).values()) == 1
+    assert tx.key_phrases("short text") == [] and tx.key_phrases(None) == []
+
+
+# ------------------------------------------------------------- chunks
+
+
+def test_chunk_goldens():
+    assert [(len(t), at) for t, _, at in chunker.chunk("A" * 1000)] == [(512, 0), (512, 448), (104, 896)]
+    assert chunker.chunk("") == [] and chunker.chunk(None) == [] and chunker.chunk(" \n\n ") == []
+    assert chunker.chunk("First.\n\nSecond.") == [("First.\nSecond.", 0, 0)]
+    sentences = chunker.chunk("Hello world. " * 100)
+    assert all(t.endswith(".") and t.startswith("Hello") for t, _, _ in sentences) and [i for _, i, _ in sentences] == list(range(len(sentences)))
+    assert chunker.cut_before("ab. cd ef", 5) == 3 and chunker.cut_before("abcd ef gh", 6) == 5 and chunker.cut_before("abcdefgh", 5) == 5
+    with pytest.raises(ValueError):
+        chunker.chunk("x", 10, 10)
+
+
+@given(st.text(alphabet="ab .!\n", max_size=400), st.integers(5, 60), st.integers(0, 4))
+def test_chunks_hold_all_words(text, size, overlap):
+    chunks = chunker.chunk(text, size, overlap)
+    assert all(0 < len(t) <= size for t, _, _ in chunks if t)
+    joined = "".join(t for t, _, _ in chunks)
+    assert {c for c in text if c not in " \n"} <= set(joined) | {" "}
+    assert sum(c not in " \n" for c in joined) >= sum(c not in " \n" for c in text)
+    window = chunker.chunk_window(text, size, overlap, least=1)
+    assert all(text[at : at + len(t)] == t for t, _, at in window)
+
+
+def test_chunk_table(spark):
+    docs = spark.createDataFrame([(1, "A" * 1000), (2, None), (3, ""), (4, "One. " * 300)], "id long, text string")
+    rows = chunker.with_chunks(docs).collect()
+    assert {(r["doc_id"], r["text"], r["chunk_index"], r["char_offset"]) for r in rows} == {(i, *c) for i, t in ((1, "A" * 1000), (4, "One. " * 300)) for c in chunker.chunk(t)}
+
+
+# ------------------------------------------------------------- snippets
+
+TEXT = "Herons nest in reeds. " * 20 + "Otters swim by the lock at night. " + "Nothing else here. " * 20
+
+
+def test_snippets():
+    found = snippets.extract(TEXT, "otters lock the")
+    assert len(found) == 1
+    text, highlighted, start, end = found[0]
+    assert "<mark>Otters</mark>" in highlighted and "<mark>lock</mark>" in highlighted and text.startswith("...") and text.endswith("...")
+    assert TEXT[start:end] == text[3:-3] and TEXT[start - 1] == " "
+    assert snippets.extract(TEXT, "the of") == [] and snippets.extract(None, "x") == [] and snippets.extract(TEXT, "zzz") == []
+    assert snippets.extract("an otter", "otter", tags=("[", "]"))[0][1] == "an [otter]"
+
+
+@given(st.lists(st.sampled_from(["otter ", "reed. ", "lock! ", "x" * 90 + " "]), max_size=60), st.integers(10, 200))
+def test_windows_do_not_overlap(parts, context):
+    text = "".join(parts)
+    windows = snippets.windows(text, ["lock", "otter"], context)
+    assert len(windows) <= 3
+    for a, b in zip(windows, windows[1:]):
+        assert a.end <= b.start
+    assert all(0 <= w.start <= w.end <= len(text) for w in windows)
+
+
+def test_highlight(spark):
+    df = spark.createDataFrame([("A+B and Lock, lockers",)], "text string")
+    assert df.select(snippets.highlight(df["text"], "lock and")).first()[0] == "A+B and <mark>Lock</mark>, <mark>lock</mark>ers"
+    assert df.select(snippets.highlight(df["text"], "lock", ("$1", "\\"))).first()[0] == "A+B and $1Lock\\, $1lock\\ers"
+    assert snippets.densest_window("a " * 200 + "lock lock", "lock", 50)[1].count("lock") == 2
