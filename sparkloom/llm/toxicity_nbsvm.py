@@ -49,7 +49,7 @@ def hashed_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = "".join(f"<{w}>" for w in words)
     codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters of the word from here on
     buckets, owners = [], []
     rolling = np.zeros(len(codes), np.uint64)
@@ -62,11 +62,11 @@ def hashed_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             mixed = rolling[inside] * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(n)
             mixed ^= mixed >> np.uint64(33)
             mixed *= np.uint64(0xC4CEB9FE1A85EC53)
-            buckets.append((mixed >> np.uint64(40)) % np.uint64(BUCKETS))
+            buckets.append(((mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32))
             owners.append(owner[inside])
     if not buckets:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ class Model:
         return np.bincount(owner, self.weight[buckets], len(words))
 
 
-def fit(texts: list[str | None], toxic: list[int], penalty: float = PENALTY, rounds: int = 150) -> Model:
+def fit(texts: list[str | None], toxic: list[int], penalty: float = PENALTY, rounds: int = 80) -> Model:
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
         share = y.mean() if len(y) else 0.5
@@ -92,27 +92,34 @@ def fit(texts: list[str | None], toxic: list[int], penalty: float = PENALTY, rou
         for w in sorted(words_of(text)):
             word_at.append(places.setdefault(w, len(places)))
             doc_at.append(d)
-    word_at, doc_at = np.array(word_at, np.int64), np.array(doc_at, np.int64)
+    word_at, doc_at = np.array(word_at, np.int32), np.array(doc_at, np.int32)
     buckets, owner = hashed_ngrams(list(places))
-    used, buckets = np.unique(buckets, return_inverse=True)
-    n_docs, n_words, n_features = len(y), len(places), len(used)
+    n_docs, n_words = len(y), len(places)
+    del places
+    used = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
+    n_features = len(used)
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(n_features, dtype=np.int32)
+    # in the order of the words, so that a word's n-grams are a slice
+    order = np.argsort(owner, kind="stable").astype(np.int32)
+    buckets, owner = place[buckets[order]], owner[order].astype(np.int32)
+    del order
+    first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n_words))])
 
     # log-count ratios over documents that hold a feature
-    order = np.argsort(owner, kind="stable")
-    by_word = buckets[order]
-    first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n_words))])
     holds = np.zeros((2, n_features))
     cut = np.concatenate([[0], np.cumsum(np.bincount(doc_at, minlength=n_docs))])
     for d in range(n_docs):
         own = word_at[cut[d] : cut[d + 1]]
         if len(own):
-            seen = np.unique(np.concatenate([by_word[first[w] : first[w + 1]] for w in own]))
+            seen = np.unique(np.concatenate([buckets[first[w] : first[w + 1]] for w in own]))
             holds[int(y[d]), seen] += 1
     p, q = ALPHA + holds[1], ALPHA + holds[0]
     ratio = np.log(p / (2 * ALPHA + y.sum())) - np.log(q / (2 * ALPHA + (1 - y).sum()))
+    starts = first[:-1]
 
     def scores(w: np.ndarray) -> np.ndarray:
-        of_word = np.bincount(owner, (w[:-1] * ratio)[buckets], n_words)
+        of_word = np.add.reduceat((w[:-1] * ratio)[buckets], starts)  # every word has an n-gram
         return np.bincount(doc_at, of_word[word_at], n_docs) + w[-1]
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
