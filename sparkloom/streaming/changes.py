@@ -38,14 +38,10 @@ def debounced(events: DataFrame, gap: str = "2 seconds", root_col: str | None =
     if "seq" not in events.columns:
         events = events.withColumn("seq", F.lit(0))
     bursts = events.withColumn("root", root).groupBy("root", F.session_window("ts", gap).alias("w")).agg(F.collect_list(F.struct("path", "ts", "seq", "event_type")).alias("all"))
-    one = bursts.select("root", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.explode(_last_per_path(F.col("all"))).alias("e"))
-    return one.select("root", "start", "end", "e.path", "e.event_type")
-
-
-def _last_per_path(all_):
-    """Of a burst's events the last per path: sorted, those that the next one's path differs from."""
-    ordered = F.array_sort(all_)
-    return F.filter(ordered, lambda e, i: F.coalesce(F.get(ordered, i + 1)["path"] != e["path"], F.lit(True)))
+    # of a burst's events, sorted, the last per path is the one that the next one's path differs from
+    ordered = bursts.select("root", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.array_sort("all").alias("ordered"))
+    last = F.filter("ordered", lambda e, i: F.coalesce(F.get("ordered", i + 1)["path"] != e["path"], F.lit(True)))
+    return ordered.select("root", "start", "end", F.explode(last).alias("e")).select("root", "start", "end", "e.path", "e.event_type")
 
 
 def tumbling_last(events: DataFrame, width: str = "2 seconds") -> DataFrame:
