@@ -34,7 +34,7 @@ from ._shared import column, fresh, small_batches, staged, table
 
 WINDOW = 2
 FEWEST_LINES, MOST_LINES = 2, 16
-LONG_LINE = 50
+LONG_LINE = 16
 #: 64-bit words of the bitmap: 8 MB at any corpus size.
 WORDS = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15
@@ -89,7 +89,8 @@ def without(text: str, firsts: set[int]) -> tuple[str, int]:
 
 
 PLACE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("line", T.IntegerType())])
-META = T.StructType([T.StructField("h", T.LongType()), *PLACE.fields])
+#: As Python gives it: ids as text, since pandas would make floats of numbers with nulls.
+META = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc_id", T.StringType()), *PLACE.fields[1:]])
 SENT = T.StructType([*META.fields, T.StructField("bytes", T.BinaryType())])
 
 
@@ -107,7 +108,7 @@ def _emit(shared):
                         rows.append((signed, doc_id, text_hash, line))
                     elif int(bitmap[h & (WORDS - 1)]) >> (h >> 20 & 63) & 1:
                         rows.append((signed, doc_id, text_hash, line, content))
-            yield pd.DataFrame(rows, columns=(META if bitmap is None else SENT).names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=(META if bitmap is None else SENT).names)
 
     return emit
 
@@ -126,11 +127,13 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
 def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, firsts): the first lines of the chunks to take out. ``docs`` has doc_id, text_hash and text."""
     spark = small_batches(docs.sparkSession)
-    meta = staged(docs.mapInPandas(_emit(None), META), "chunks")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    number = F.col("doc_id").cast("long")
+    meta = staged(docs.mapInPandas(_emit(None), META).withColumn("doc_id", number), "chunks")
     place = F.struct(*PLACE.names)
     repeated = staged(meta.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated")
     shared = spark.sparkContext.broadcast(bitmap_of(repeated))
-    sent = docs.mapInPandas(_emit(shared), SENT)
+    sent = docs.mapInPandas(_emit(shared), SENT).withColumn("doc_id", number)
 
     # one row per hash and bytes; equal chunks of a task collapse before the shuffle
     classes = staged(sent.groupBy("h", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")), "classes")

@@ -113,6 +113,13 @@ def _row(head: dict[str, str]) -> tuple:
     )
 
 
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Columns of their own types: numbers with nulls don't pass through floats."""
+    columns = dict(zip(names, zip(*rows))) if rows else {n: () for n in names}
+    kinds = {"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"}
+    return pd.DataFrame({n: pd.array(list(v), dtype=kinds.get(n, object)) for n, v in columns.items()})
+
+
 def _verified(with_payload: bool):
     names = [*RECORD.names, *(["payload"] if with_payload else [])]
 
@@ -125,8 +132,7 @@ def _verified(with_payload: bool):
                 if found != (row[2], row[3], sha256):
                     raise ValueError(f"the payload of {row[0]} is not what its record says: {found}")
                 rows.append((*row, payload) if with_payload else row)
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+            yield _frame(rows, names)
 
     return verify
 
@@ -156,6 +162,8 @@ def write_warc(spark: SparkSession, path: str, out: str, records_per_file: int =
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the WARC files at ``path``: their header's fields, and their block as ``payload``."""
 
+    names = [*RECORD.names, "payload"]
+
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for content in frame["content"]:
@@ -167,13 +175,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((*_row(head), data[end : end + n]))
                     at = end + n + 4
                     if len(rows) == 1000:
-                        yield frame_of(rows)
+                        yield _frame(rows, names)
                         rows = []
                 if rows:
-                    yield frame_of(rows)
-
-    def frame_of(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*RECORD.names, "payload"]).astype({"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
+                    yield _frame(rows, names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInPandas(parse, T.StructType([*RECORD.fields, T.StructField("payload", T.BinaryType())]))

@@ -33,7 +33,7 @@ def corpus():
         own = [line() for _ in range(rng.randrange(4, 30))]
         at = rng.randrange(len(own))
         rows.append((i, "\n".join([*own[:at], *(shared if i % 2 else [long]), *own[at:]])))
-    rows += [(60, rows[10][1]), (61, "same\n" * 200), (62, "\n".join(shared + shared)), (60, rows[10][1])]
+    rows += [(60, rows[10][1]), (61, "same\n" * 200), (62, "\n".join(shared + shared)), (60, rows[10][1]), (2**62 + 1, rows[11][1])]
     return rows
 
 

@@ -15,7 +15,7 @@ def texts():
 def test_pieces_are_exact(spark):
     from tokenizers import Tokenizer
 
-    rows = [(None if i == 3 else i, t) for i, t in enumerate(texts())] + [(1, "")]
+    rows = [(None if i == 3 else i, t) for i, t in enumerate(texts())] + [(1, ""), (2**62 + 1, "a large number")]
     library = Tokenizer.from_file(m.default_vocabulary())
     ids = [library.encode(t or "", add_special_tokens=False).ids + [1] for _, t in rows]
     df = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, n string, shard int")
@@ -95,6 +95,7 @@ def test_statistics_cover_all_documents(spark):
     use = m.vocabulary(m.default_vocabulary())
     idf, mean = m.corpus_statistics(m.tokenise(df), use.size)
     ids = [np.append(use.ids(t or ""), 1) for t in texts()]
+    assert m.tokenise(df).filter("kind = 'document'").count() == len(ids)
     n = sum(int(1 in i) for i in ids)
     assert mean == pytest.approx(np.mean([len(i) for i in ids]))
     assert idf[1] == pytest.approx(np.log1p((len(ids) - n + 0.5) / (n + 0.5)))

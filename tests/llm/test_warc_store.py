@@ -6,7 +6,7 @@ from sparkloom.llm._shared import staging_path
 BIG = "é" * 700
 PAGES = [
     (1, "http://a.example/\r\nX: y", BIG), (2, "u", BIG), (9, "u2", BIG), (3, "v", "short"), (4, "v", "short"), (5, None, None), (6, "", ""),
-    (None, "n", BIG), (7, "w", "x\r\n\r\nWARC/1.1\r\n" * 100), (8, "w", "x\r\n\r\nWARC/1.1\r\n" * 100), (9, "again", BIG), (10, "edge", "a" * 1000), (11, "edge", "a" * 1000), (12, "edge", "b" * 999), (13, "edge", "b" * 999),
+    (None, "n", BIG), (7, "w", "x\r\n\r\nWARC/1.1\r\n" * 100), (8, "w", "x\r\n\r\nWARC/1.1\r\n" * 100), (9, "again", BIG), (10, "edge", "a" * 1000), (11, "edge", "a" * 1000), (12, "edge", "b" * 999), (13, "edge", "b" * 999), (2**62 + 1, "large", "c" * 2000), (2**62 + 2, "large", "c" * 2000),
 ]
 
 
