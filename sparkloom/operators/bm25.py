@@ -18,6 +18,7 @@ from ..functions import text as tx
 
 K1, B = 1.2, 0.75
 DIGITS = 6
+LONGEST = tx.LONGEST_TERM
 
 
 def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -50,19 +51,45 @@ def score_expression(n, avgdl):
     return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
 
 
-def scores(postings: DataFrame, wanted: DataFrame, stats: tuple[int, float] | None = None) -> DataFrame:
-    """(query_id, chunk_id, score) for every chunk that has a term of the query; ``wanted`` is (query_id, term, qtf)."""
+def scores(postings: DataFrame, wanted: DataFrame, stats: tuple[int, float] | None = None, term_df: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) for every chunk that has a term of the query; ``wanted`` is (query_id, term, qtf).
+
+    Postings are cut down to the terms asked for before anything else; Catalyst takes that
+    semi-join below the postings' own grouping when they are made on the fly, and the
+    document frequencies use the same exchange. ``stats`` and ``term_df`` of an index save
+    reading all postings for them.
+    """
     n, avgdl = stats or collection(postings)
     asked = wanted.select("term").distinct()
-    df = postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = postings.join(wanted.join(df, "term"), "term")
+    few = postings.join(asked, "term", "left_semi")
+    df = few.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if term_df is None else term_df.join(asked, "term", "left_semi")
+    hits = few.join(wanted.join(df, "term"), "term")
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(score_expression(F.lit(n), F.lit(avgdl)) * F.col("qtf")), DIGITS).alias("score"))
 
 
 def collection(postings: DataFrame) -> tuple[int, float]:
     """Number of chunks with terms, and their mean length."""
-    row = corpus_stats(postings).first()
-    return row["n"], row["avgdl"] or 1.0
+    return _stats(corpus_stats(postings))
+
+
+def text_stats(chunks: DataFrame, text_col: str = "text") -> tuple[int, float]:
+    """The same from texts: counted where they are read, without a shuffle."""
+    n = F.size(tx.terms(F.col(text_col)))
+    return _stats(chunks.select(n.alias("dl")).filter("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def _stats(row: DataFrame) -> tuple[int, float]:
+    found = row.first()
+    return found["n"], found["avgdl"] or 1.0
+
+
+def topk_query(postings: DataFrame, query: str, k: int = 10, stats: tuple[int, float] | None = None, term_df: DataFrame | None = None) -> DataFrame:
+    """One query over a stored index: its terms are literals, so a scan of postings sorted by term skips what holds none of them."""
+    spark = postings.sparkSession
+    terms = [t for t in re.findall(r"[^\W_]+", query.lower()) if len(t.encode()) <= LONGEST]
+    wanted = spark.createDataFrame([(0, t, terms.count(t)) for t in dict.fromkeys(terms)], "query_id long, term string, qtf long")
+    mine = F.col("term").isin(*dict.fromkeys(terms)) if terms else F.lit(False)
+    return ranked(scores(postings.filter(mine), wanted, stats or collection(postings), None if term_df is None else term_df.filter(mine)), k)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

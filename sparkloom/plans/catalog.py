@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import analytics, answers, bm25, chunker, collections, dense, embedder, fusion, results, snippets
+from ..operators import analytics, answers, bm25, chunker, collections, dense, embedder, evaluation, fusion, results, snippets
 from ..sources import connectors, exports, parsers
 from ..streaming import changes as stream
 from . import changes
@@ -115,6 +115,10 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return bm25.build_postings(table(spark, d, "documents"), "doc_id")
 
 
+def keyword(spark: SparkSession, d: str, asked: DataFrame, k: int) -> DataFrame:
+    return bm25.topk(postings(spark, d), asked, k, bm25.text_stats(table(spark, d, "documents")))
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
 
@@ -140,12 +144,12 @@ def dense_sql(k: int, where: str = "true", vector: str = "embedding") -> str:
 
 @query("ret1_bm25_topk", f"WITH {bm25_sql(ONE, 20)} SELECT * FROM keyword")
 def ret1(spark, d):
-    return bm25.topk(postings(spark, d), bm25.one_query(spark, QUERY), 20)
+    return keyword(spark, d, bm25.one_query(spark, QUERY), 20)
 
 
 @query("ret1_bm25_batch", "WITH " + bm25_sql("(SELECT item_id AS query_id, text AS query FROM benchmark)", 10) + " SELECT * FROM keyword")
 def ret1_batch(spark, d):
-    return bm25.topk(postings(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
+    return keyword(spark, d, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
 
 
 @query(
@@ -239,7 +243,7 @@ def qry1(spark, d):
 
 
 def fused(spark, d, depth: int = 100) -> DataFrame:
-    return fusion.weighted_rrf(bm25.topk(postings(spark, d), bm25.one_query(spark, QUERY), depth), dense.topk(vectors(spark, d), asked_vector(spark, d), depth), 0.4)
+    return fusion.weighted_rrf(keyword(spark, d, bm25.one_query(spark, QUERY), depth), dense.topk(vectors(spark, d), asked_vector(spark, d), depth), 0.4)
 
 
 FUSED = f"""{bm25_sql(ONE, 100)}, {dense_sql(100)}, parts AS (
@@ -269,7 +273,7 @@ def fus1(spark, d):
 )
 def fus2(spark, d):
     third = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(100)
-    return fusion.rrf([bm25.topk(postings(spark, d), bm25.one_query(spark, QUERY), 100), dense.topk(vectors(spark, d), asked_vector(spark, d), 100), third], [1.0, 0.5, 0.25])
+    return fusion.rrf([keyword(spark, d, bm25.one_query(spark, QUERY), 100), dense.topk(vectors(spark, d), asked_vector(spark, d), 100), third], [1.0, 0.5, 0.25])
 
 
 BOOSTED = FUSED + f""", {DOCS}, boosted0 AS (
@@ -357,7 +361,7 @@ for _sort, _order in (("relevance", "score DESC"), ("date", "modified_time DESC"
     )
     def srt1(spark, d, sort=_sort):
         docs = documents(spark, d)
-        hits = bm25.topk(postings(spark, d), bm25.one_query(spark, QUERY), 30)
+        hits = keyword(spark, d, bm25.one_query(spark, QUERY), 30)
         joined = hits.join(docs, hits["chunk_id"] == docs["id"])
         from pyspark.sql.window import Window
 
@@ -383,7 +387,7 @@ HITS = f"{bm25_sql(ONE, 30)}, {DOCS}, hits AS (SELECT id AS doc_id, path, filena
 
 
 def hits(spark, d) -> DataFrame:
-    found = bm25.topk(postings(spark, d), bm25.one_query(spark, QUERY), 30)
+    found = keyword(spark, d, bm25.one_query(spark, QUERY), 30)
     rows = results.enrich(found, table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "text"), documents(spark, d).drop("text"))
     return results.api_row(rows.withColumn("other_chunk_count", F.lit(0)))
 
@@ -691,7 +695,7 @@ SELECT 0::BIGINT AS query_id, string_agg(sentence, ' ' ORDER BY rank, place) AS
 )
 def txt5(spark, d):
     asked = spark.createDataFrame([(0, QUESTION)], "query_id long, query string")
-    found = bm25.topk(postings(spark, d), asked, 5)
+    found = keyword(spark, d, asked, 5)
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return answers.extract_answers(found.join(texts, "chunk_id").withColumn("query", F.lit(QUESTION)))
 
@@ -821,6 +825,20 @@ def evl1(spark, d):
     return judged.groupBy("query_id").agg(F.round(F.count_if(F.col("quality") == 1) / F.count(F.lit(1)), 6).alias("precision"), F.count(F.lit(1)).alias("judged"))
 
 
+@query(
+    "evl1_precision_recall",
+    f"""WITH {bm25_sql('(SELECT item_id AS query_id, text AS query FROM benchmark)', 10)}, relevant AS (
+  SELECT query_id, chunk_id FROM keyword JOIN labels ON doc_id = chunk_id WHERE quality = 1
+), f AS (SELECT query_id, count(*) AS n, count(r.chunk_id) AS good FROM keyword k LEFT JOIN relevant r USING (query_id, chunk_id) WHERE rank <= 5 GROUP BY query_id), t AS (SELECT query_id, count(*) AS relevant FROM relevant GROUP BY query_id)
+SELECT query_id, round(coalesce(good / n, 0), 6) AS precision, round(coalesce(good / relevant, 0), 6) AS recall FROM t LEFT JOIN f USING (query_id)""",
+)
+def evl1_recall(spark, d):
+    """Of the ten documents found for a query those with a good label are relevant; the measures are those of the first five."""
+    found = ret1_batch(spark, d)
+    good = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("chunk_id"))
+    return evaluation.per_query(found, found.join(good, "chunk_id", "left_semi"), 5)
+
+
 @query("evl2_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def evl2(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", p / 100), 6).alias(f"p{p}") for p in (50, 95, 99)))

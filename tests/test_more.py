@@ -1,0 +1,74 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.__main__ import main
+from sparkloom.operators import embedder, evaluation
+from sparkloom.sources import discovery, parsers
+from sparkloom.streaming import progress
+
+
+def test_pdf():
+    page = b"BT /F1 12 Tf (Hello \\(big\\) ) Tj [(wor) -20 (ld)] TJ 0 -14 Td <6f6b> Tj ET"
+    packed = zlib.compress(b"BT (Page \\164wo) Tj T* (next) Tj ET")
+    made = b"%PDF-1.4\n1 0 obj\n<< /Length 9 >>\nstream\n" + page + b"\nendstream\nendobj\n2 0 obj\n<< /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream\nendobj"
+    assert parsers.parse(made, "a.pdf") == "Hello (big) world\nok\n\nPage two\nnext"
+    assert parsers.parse(b"no pdf", "a.pdf") is None
+
+
+@pytest.mark.parametrize(
+    "lines, path, gone",
+    [
+        (("*.log",), "a/b.log", True), (("*.log", "!keep.log"), "a/keep.log", False), (("build/",), "x/build/y.txt", True), (("build/",), "x/build", False), (("/top.txt",), "top.txt", True),
+        (("/top.txt",), "a/top.txt", False), (("docs/**",), "docs/a/b.md", True), (("**/tmp/*",), "a/b/tmp/c", True), (("a?c",), "abc", True), (("# note", ""), "note", False), (("x.y",), "xzy", False),
+    ],
+)
+def test_ignore(spark, lines, path, gone):
+    assert spark.range(1).select(discovery.ignored(F.lit(path), lines)).first()[0] is gone
+
+
+def test_pooling():
+    hidden = np.array([[[3.0, 4.0, 9.0], [1.0, 0.0, 0.0]], [[0.0, 0.0, 0.0], [0.0, 0.0, 5.0]]])
+    assert np.allclose(embedder.first_token(hidden, 2), [[0.6, 0.8], [0, 0]])
+    assert np.allclose(embedder.mean_of_tokens(hidden, np.array([[1, 1], [0, 1]]), 3)[1], [0, 0, 1])
+    with pytest.raises(ValueError):
+        embedder.model_embedder("m", "t", pooling="last")
+
+
+def test_evaluation(spark):
+    hits = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3), (1, 9, 1)], "query_id long, chunk_id long, rank int")
+    relevant = spark.createDataFrame([(0, 1), (0, 3), (0, 7), (1, 5), (2, 1), (0, 1)], "query_id long, chunk_id long")
+    got = {r["query_id"]: (r["precision"], r["recall"]) for r in evaluation.per_query(hits, relevant, 2).collect()}
+    assert got == {0: (0.5, 0.333333), 1: (0.0, 0.0), 2: (0.0, 0.0)}
+    assert evaluation.overall(evaluation.per_query(hits, relevant, 2)).first()["max_precision"] == 0.5
+    times = spark.createDataFrame([(float(i),) for i in range(1, 11)], "ms double")
+    assert evaluation.latency(times).first()["p50"] == 5.5 and evaluation.nearest_rank(times, 50).first()[0] == 5.0
+
+
+def test_progress(spark, tmp_path):
+    listener = progress.ProgressListener()
+    spark.streams.addListener(listener)
+    try:
+        (tmp_path / "a.txt").write_text("one\ntwo\n")
+        query = spark.readStream.text(str(tmp_path)).writeStream.format("noop").start()
+        query.processAllAvailable()
+        query.stop()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.progress.percent(4) in (0.0, 50.0) and listener.progress.percent(0) == 100.0
+    assert progress.notify(["nowhere://x", "http://127.0.0.1:9/"], {"a": 1}, 0.5).keys() == {"nowhere://x", "http://127.0.0.1:9/"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.md").write_text("Herons nest by the lock.")
+    (tmp_path / "docs/b.py").write_text("def otter(): pass")
+    index = str(tmp_path / "index")
+    main(["index", index, str(tmp_path / "docs")])
+    main(["search", index, "herons", "--type", "md"])
+    main(["info", index])
+    out = capsys.readouterr().out
+    assert '"indexed": 2' in out and "a.md" in out and '"healthy"' in out
