@@ -89,25 +89,36 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-TOKENS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("route", T.LongType()), T.StructField("spread", T.LongType())])
+TOKENS = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("route", T.LongType()), T.StructField("spread", T.LongType()), T.StructField("kind", T.StringType())])
+#: Rows of a document, and those that sum up what a task has seen: documents in ``n``, ids in all in ``route``, documents per id in ``ids``.
+DOCUMENT, SUMMARY = "document", "summary"
 
 
 def tokenise(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, ids, route, spread): the ids with the end id, packed; the rest's route (-1 without a rest); a hash of the ids."""
+    """(doc_id as text, n, ids, route, spread, kind): the ids with the end id, packed; the rest's route (-1 without a rest); a number that spreads rows evenly, copies and repeated rows too.
+
+    Every task adds a row of kind ``SUMMARY``, so that corpus statistics need no second
+    pass. Ids of documents travel as text, as pandas would make floats of numbers with nulls.
+    """
     path = path or default_vocabulary()
 
-    @F.pandas_udf(T.StructType(TOKENS.fields[1:]))
-    def tokens(text: pd.Series) -> pd.DataFrame:
+    def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         use = vocabulary(path)
-        rows = []
-        for t in text:
-            ids = np.append(use.ids(t or ""), np.uint32(END))
-            rest = ids[len(ids) // window * window :]
-            packed = pack_ids(ids, use.size)
-            rows.append((len(ids), packed, int(rest.max()) if len(rest) else -1, xxhash.xxh3_64_intdigest(packed) >> 1))
-        return pd.DataFrame(rows, columns=TOKENS.names[1:])
+        df = np.zeros(use.size, np.int64)
+        n = total = 0
+        for frame in frames:
+            rows = []
+            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+                ids = np.append(use.ids(text or ""), np.uint32(END))
+                df[np.unique(ids)] += 1
+                n, total = n + 1, total + len(ids)
+                rest = ids[len(ids) // window * window :]
+                packed = pack_ids(ids, use.size)
+                rows.append((doc_id, len(ids), packed, int(rest.max()) if len(rest) else -1, xxhash.xxh3_64_intdigest(f"{doc_id} {n}") >> 1, DOCUMENT))
+            yield pd.DataFrame(rows, columns=TOKENS.names)
+        yield pd.DataFrame([(None, n, zlib.compress(df.tobytes()), total, 0, SUMMARY)], columns=TOKENS.names)
 
-    return docs.select(column(id_col).alias("doc_id"), tokens(column(text_col)).alias("t")).select("doc_id", "t.*")
+    return docs.select(column(id_col).cast("string").alias("doc_id"), column(text_col).alias("text")).mapInPandas(tokens, TOKENS)
 
 
 def pack_ids(ids: np.ndarray, size: int) -> bytes:
@@ -123,25 +134,17 @@ def _number(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def _frequencies(size: int):
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(size, np.int64)
-        n = total = 0
-        for frame in frames:
-            for packed in frame["ids"]:
-                ids = unpack_ids(packed, size)
-                df[np.unique(ids)] += 1
-                n += 1
-                total += len(ids)
-        used = np.flatnonzero(df)
-        yield pd.DataFrame({"id": np.concatenate([used, [-1, -2]]), "n": np.concatenate([df[used], [n, total]])})
-
-    return count
+def _summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for n, total, packed in zip(frame["n"], frame["route"], frame["ids"]):
+            df = np.frombuffer(zlib.decompress(packed), np.int64)
+            used = np.flatnonzero(df)
+            yield pd.DataFrame({"id": np.concatenate([used, [-1, -2]]), "n": np.concatenate([df[used], [n, total]])})
 
 
 def corpus_statistics(tokens: DataFrame, size: int) -> tuple[np.ndarray, float]:
     """idf of every id of the vocabulary, and the documents' mean length, over all documents."""
-    counted = tokens.select("ids").mapInPandas(_frequencies(size), T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType())]))
+    counted = tokens.filter(F.col("kind") == SUMMARY).select("n", "route", "ids").mapInPandas(_summed, T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType())]))
     rows = counted.groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # one row per id of the vocabulary at most
     known = dict(zip(rows["id"], rows["n"]))
     n = int(known.pop(-1, 0))
@@ -231,7 +234,7 @@ def fill_windows(lengths: list[int], neighbours, window: int) -> list[list[tuple
     return windows
 
 
-PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+PIECES = T.StructType([T.StructField(n, T.StringType() if n == "doc_id" else T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 #: Sequences of a shard have the ids from shard * SHARD_IDS on.
 SHARD_IDS = 1 << 32
 
@@ -240,7 +243,7 @@ def _pack(shared, window: int):
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         idf, mean = shared.value
         size = len(idf)
-        frame = frame.sort_values(["doc_id", "spread", "n"], kind="stable", na_position="first")
+        frame = frame.sort_values(["spread", "n", "doc_id"], kind="stable", na_position="first")
         rows, rests, sequence = [], [], int(frame["shard"].iloc[0]) * SHARD_IDS
         for doc_id, n, packed in zip(frame["doc_id"], frame["n"], frame["ids"]):
             ids = unpack_ids(packed, size)
@@ -259,7 +262,7 @@ def _pack(shared, window: int):
                     rows.append((doc_id, start + at, length, zlib.crc32(ids[at : at + length].tobytes()), n, sequence, offset))
                     offset += length
                 sequence += 1
-        return pd.DataFrame(rows, columns=PIECES.names).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=PIECES.names)
 
     return pack
 
@@ -270,11 +273,13 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
     path = path or default_vocabulary()
     tokens = staged(tokenise(docs, path, window, id_col, text_col), "tokens")
     shared = spark.sparkContext.broadcast(corpus_statistics(tokens, vocabulary(path).size))
+    tokens = tokens.filter(F.col("kind") == DOCUMENT)
     counts = {r["route"]: r["n"] for r in tokens.groupBy("route").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     shards = spark.createDataFrame([(r, first, parts) for r, (first, parts) in plan_shards(counts).items()], "route long, first long, parts long")
     # at most one row per id of the vocabulary, and one for "no rest"
     placed = tokens.join(F.broadcast(shards), "route").withColumn("shard", F.col("first") + F.pmod("spread", "parts"))
-    return placed.select("shard", "doc_id", "n", "ids", "spread").groupBy("shard").applyInPandas(_pack(shared, window), PIECES)
+    pieces = placed.select("shard", "doc_id", "n", "ids", "spread").groupBy("shard").applyInPandas(_pack(shared, window), PIECES)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,12 @@ def test_shards_are_bounded():
     assert sorted(used) == list(range(len(used)))
 
 
+def test_copies_are_spread(spark):
+    df = spark.createDataFrame([(7, "one and the same text")] * 3000, "doc_id long, text string")
+    per_shard = Counter(p["sequence_id"] // m.SHARD_IDS for p in m.pack(df).select("sequence_id", "doc_id").collect())
+    assert len(per_shard) == 6 and max(per_shard.values()) < 700
+
+
 def test_statistics_cover_all_documents(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
     use = m.vocabulary(m.default_vocabulary())
