@@ -41,4 +41,4 @@ def test_entry(spark, sf_dir):
     import __spark_entry__ as entry
 
     df = entry.entry(spark)
-    assert df.count() > 0 and df.columns == ["query_id", "chunk_id", "bm25_rank", "dense_rank", "score", "rank"]
+    assert df.count() > 0 and sorted(df.columns) == ["bm25_rank", "chunk_id", "dense_rank", "query_id", "rank", "score"]
