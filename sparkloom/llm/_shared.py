@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -28,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
         return set_by_cluster.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
+        own = tempfile.mkdtemp(prefix="sparkloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
 

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
