@@ -10,9 +10,13 @@
    bytes themselves, so two chunks are the same only if every byte is.
 4. Of each repeated chunk the first (by doc_id, then text, then line) stays; the
    others' lines are taken out of their texts.
+5. With ``passages``, steps 2 to 4 also find each two neighbouring lines (blank ones
+   aside) that stand together earlier. Chunk edges depend on the lines around a
+   passage, pairs of lines don't: where such pairs follow one another without a gap
+   over ``PASSAGE_WORDS`` words or more, all their lines go, whatever their length.
 
-Only chunks of two or more lines that have a word, and long lines, are ever
-removed. Defined results: a null text stays null and takes no part; an empty one has
+Only chunks of two or more lines that have a word, long lines and such passages are
+ever removed; of each line the first place stays. Defined results: a null text stays null and takes no part; an empty one has
 no chunk. Rows of the same doc_id and text are one document and are treated alike.
 A null doc_id sorts before all others. Repetition inside a text counts. A text that
 loses every line becomes empty; its row stays. An empty table gives an empty result.
@@ -35,6 +39,10 @@ from ._shared import column, fresh, small_batches, staged, table
 WINDOW = 2
 FEWEST_LINES, MOST_LINES = 2, 16
 LONG_LINE = 16
+#: Words of a run of repeated pairs of lines that make it a passage.
+PASSAGE_WORDS = 50
+#: Added to the line of a pair, which tells it from a chunk's.
+PAIR = 1 << 30
 #: 64-bit words of the bitmap: 8 MB at any corpus size.
 WORDS = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15
@@ -77,14 +85,39 @@ def removable(text: str | None) -> list[tuple[int, int, bytes]]:
     return [(xxhash.xxh3_64_intdigest(c := b"\n".join(lines[a:b])), a, c) for a, b in found]
 
 
+def pairs(text: str | None) -> list[tuple[int, int, bytes]]:
+    """(hash, first line + ``PAIR``, bytes) of each two lines that follow each other, blank lines aside."""
+    said = [(i, line) for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")) if line.strip()]
+    # no text has the byte FF, so no chunk is a pair
+    return [(xxhash.xxh3_64_intdigest(c := b"\xff" + a + b"\n" + b), i + PAIR, c) for (i, a), (_, b) in zip(said, said[1:])]
+
+
+def passages_of(lines: list[bytes], firsts: set[int]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of the passages that the repeated pairs among ``firsts`` make up."""
+    out, begin, end, words = [], 0, 0, 0
+    said = [i for i, line in enumerate(lines) if line.strip()]
+    for i, following in zip(said, said[1:]):
+        if i + PAIR not in firsts:
+            continue
+        if i + 1 != end:  # no pair before this one ends in its first line
+            if words >= PASSAGE_WORDS:
+                out.append((begin, end))
+            begin, words = i, len(lines[i].split())
+        end = following + 1
+        words += len(lines[following].split())
+    return [*out, (begin, end)] if words >= PASSAGE_WORDS else out
+
+
 def without(text: str, firsts: set[int]) -> tuple[str, int]:
-    """``text`` less the chunks that begin at these lines, and how many lines went."""
+    """``text`` less the chunks that begin at these lines and the passages of these pairs, and how many lines went."""
     raw = text.encode("utf-8", "surrogatepass")
     lines = raw.split(b"\n")
     gone = np.zeros(len(lines), bool)
     for a, b, _ in chunks(raw):
         if a in firsts:
             gone[a:b] = True
+    for a, b in passages_of(lines, firsts):
+        gone[a:b] = True
     return b"\n".join(line for line, g in zip(lines, gone) if not g).decode("utf-8", "surrogatepass"), int(gone.sum())
 
 
@@ -94,15 +127,15 @@ META = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc_id", T
 SENT = T.StructType([*META.fields, T.StructField("bytes", T.BinaryType())])
 
 
-def _emit(shared):
-    """All chunks without bytes, or those in the bitmap with them."""
+def _emit(shared, passages: bool):
+    """All chunks (and pairs of lines) without bytes, or those in the bitmap with them."""
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = None if shared is None else shared.value
         for frame in frames:
             rows = []
             for doc_id, text_hash, text in zip(frame["doc_id"], frame["text_hash"], frame["text"]):
-                for h, line, content in removable(text):
+                for h, line, content in removable(text) + (pairs(text) if passages else []):
                     signed = h - (1 << 64) if h >> 63 else h
                     if bitmap is None:
                         rows.append((signed, doc_id, text_hash, line))
@@ -124,16 +157,16 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, firsts): the first lines of the chunks to take out. ``docs`` has doc_id, text_hash and text."""
+def removals(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """(doc_id, text_hash, firsts): the first lines of the chunks (and pairs) to take out. ``docs`` has doc_id, text_hash and text."""
     spark = small_batches(docs.sparkSession)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     number = F.col("doc_id").cast("long")
-    meta = staged(docs.mapInPandas(_emit(None), META).withColumn("doc_id", number), "chunks")
+    meta = staged(docs.mapInPandas(_emit(None, passages), META).withColumn("doc_id", number), "chunks")
     place = F.struct(*PLACE.names)
     repeated = staged(meta.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated")
     shared = spark.sparkContext.broadcast(bitmap_of(repeated))
-    sent = docs.mapInPandas(_emit(shared), SENT).withColumn("doc_id", number)
+    sent = docs.mapInPandas(_emit(shared, passages), SENT).withColumn("doc_id", number)
 
     # one row per hash and bytes; equal chunks of a task collapse before the shuffle
     classes = staged(sent.groupBy("h", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("kept")), "classes")
@@ -162,14 +195,14 @@ def cut(text: pd.Series, firsts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=CUT.names)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks taken out of the text, and a struct column with line counts.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks (and ``passages``) taken out of the text, and a struct column with line counts.
 
     The name of the struct column (text, n_lines, n_removed) is the last one.
     """
     small_batches(docs.sparkSession)
     keyed = docs.select(column(id_col).cast("long").alias("doc_id"), F.xxhash64(column(text_col)).alias("text_hash"), column(text_col).alias("text"))
-    gone = staged(removals(keyed), "removals")
+    gone = staged(removals(keyed, passages), "removals")
     other = {n: fresh(n, docs.columns) for n in PLACE.names[:2] + ["firsts"]}
     gone = gone.select(*(F.col(n).alias(new) for n, new in other.items()))
     on = column(id_col).cast("long").eqNullSafe(gone[other["doc_id"]]) & (F.xxhash64(column(text_col)) == gone[other["text_hash"]])
@@ -178,7 +211,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=True)
     return rows.select("doc_id", F.col("deduplicated.n_lines").alias("n_lines"), F.col("deduplicated.n_removed").alias("n_removed"), F.col("deduplicated.text").alias("text"))
 
 

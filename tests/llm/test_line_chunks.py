@@ -63,6 +63,70 @@ def test_long_passage_goes(spark):
     assert sum(long in (t or "") for t in expected.values()) == 1
 
 
+def passages_corpus(n_lines, fewest, most, n=30):
+    """Passages of over 50 words in two documents each, between lines that no other document has."""
+    rng = random.Random(n_lines)
+    line = lambda a, b: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(a, b)))
+    rows, found = [], []
+    for k in range(n):
+        passage = [line(fewest, most) for _ in range(n_lines)]
+        found.append(passage)
+        for copy in (0, 1):
+            own = [line(3, 12) for _ in range(20)]
+            at = rng.randrange(21)
+            rows.append((2 * k + copy, "\n".join([*own[:at], *passage, *own[at:]])))
+    return rows, found
+
+
+def test_passages_of_short_lines_go_whole(spark):
+    shapes = [(4, 13, 15), (6, 9, 12), (8, 7, 9), (10, 6, 8)]
+    rows, found, expected = [], [], {}
+    for shape in shapes:
+        more, passages = passages_corpus(*shape)
+        for (i, t), copy in zip(more, range(len(more))):
+            going = set(passages[copy // 2]) if copy % 2 else set()
+            expected[len(rows)] = "\n".join(x for x in t.split("\n") if x not in going)
+            rows.append((len(rows), t))
+        found += passages
+    assert min(sum(len(x.split()) for x in p) for p in found) >= m.PASSAGE_WORDS - 2
+    got = {r["doc_id"]: r[-1] for r in m.deduplicate(frame(spark, rows), passages=True).select("doc_id", "deduplicated_1.text").collect()}
+    whole = [i for i, t in expected.items() if got[i] == t]
+    # passages that happen to be under 50 words go as their chunks do
+    short = {2 * k + 1 for k, p in enumerate(found) if sum(len(x.split()) for x in p) < m.PASSAGE_WORDS}
+    assert set(expected) - set(whole) <= short
+
+
+def test_passages_same_as_brute_force(spark):
+    rows = corpus()
+    first, seen = {}, {}
+    order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, ""))
+    expected = {}
+    for i, t in order:
+        lines, gone, repeated = t.split("\n") if t else [], set(), set()
+        for a, b, may in m.chunks(t.encode()):
+            if may and seen.setdefault("\n".join(lines[a:b]), (i, t, a)) != (i, t, a):
+                gone |= set(range(a, b))
+        said = [k for k, x in enumerate(lines) if x.strip()]
+        for a, b in zip(said, said[1:]):
+            if first.setdefault((lines[a], lines[b]), (i, t, a)) != (i, t, a):
+                repeated.add((a, b))
+        runs = []
+        for a, b in sorted(repeated):
+            if runs and runs[-1][-1] == a:
+                runs[-1].append(b)
+            else:
+                runs.append([a, b])
+        for run in runs:
+            if sum(len(lines[k].split()) for k in run) >= m.PASSAGE_WORDS:
+                gone |= set(range(run[0], run[-1] + 1))
+        expected[i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    got = {(r[0], r[1]): r[2] for r in m.deduplicate(frame(spark, rows), passages=True).select("doc_id", "text", "deduplicated_1.text").collect()}
+    assert {k: v for k, v in got.items() if k[1] is not None} == expected
+    assert expected != {k: v for k, v in brute(rows).items() if k[1] is not None}
+    kept = {x for t in expected.values() for x in t.split("\n")}
+    assert {x for _, t in rows for x in (t or "").split("\n") if x.strip()} <= kept
+
+
 @given(st.lists(st.sampled_from(["a", "b", "", "long " * 60, "c d"]), max_size=60))
 def test_chunks_tile_the_lines(lines):
     found = m.chunks("\n".join(lines).encode())
