@@ -211,7 +211,7 @@ def ret12(spark, d):
     return dense.topk(vectors(spark, d), asked_vector(spark, d), 20, tombstones=vectors(spark, d).filter("label = 0").select("chunk_id"))
 
 
-@query("ret10_ivf_topk")
+@query("ret10_ivf_topk", f"WITH {dense_sql(20)} SELECT chunk_id, score FROM dense")
 def ret10(spark, d):
     celled, model = dense.build_cells(vectors(spark, d))
     return dense.probe(celled, model, asked_vector(spark, d), 20)

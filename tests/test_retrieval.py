@@ -93,6 +93,21 @@ def test_dense(spark):
     assert dense.topk(df.limit(0), q, 3).collect() == []
 
 
+def test_probe_is_exact_below_the_cell_count(spark):
+    rng = random.Random(3)
+    flat = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)]
+    grouped = [(i, [rng.gauss(9 * (i % 10 == j), 0.1) for j in range(10)]) for i in range(400)]
+    for rows in (flat, grouped):
+        df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+        celled, model = dense.build_cells(df, 10)
+        celled = celled.cache()
+        for at in range(0, 400, 57):
+            q = rows[at][1]
+            exact = [tuple(r) for r in dense.topk(df, q, 20).collect()]
+            assert [tuple(r) for r in dense.probe(celled, model, q, 20, probes=2).collect()] == exact
+        assert len(dense.cells_within(celled, model, q, 20, 2)) < 10 or rows is flat
+
+
 def test_results(spark):
     assert results.type_set(" .PDF, md ,, ") == ["pdf", "md"]
     with pytest.raises(ValueError):
