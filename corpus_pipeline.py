@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import line_chunks, quality_ledger, retrieval_packing, simhash_bitslice, toxicity_nbsvm
+from sparkloom.llm import line_chunks, near_copies, quality_ledger, retrieval_packing, toxicity_nbsvm
 from sparkloom.llm._shared import staged, table
 
 
@@ -34,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash_bitslice.representatives(docs)
+    """One document of each group of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return near_copies.representatives(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

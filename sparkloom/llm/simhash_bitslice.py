@@ -278,12 +278,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
-    small_batches(docs.sparkSession)
-    prints = staged(docs.select(column(id_col).alias("doc_id"), fingerprint_column(column(text_col)).alias("fp")), "prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(links(distinct))
+def grouped(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``prints`` (doc_id, fp); ``distinct`` is (fp, first_id)."""
+    roots = components(edges)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "rooted")
     smallest = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
@@ -291,13 +288,25 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
+    prints = staged(docs.select(column(id_col).alias("doc_id"), fingerprint_column(column(text_col)).alias("fp")), "prints")
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    return grouped(prints, distinct, links(distinct))
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate component of ``docs``: the one with the smallest id, all its columns kept.
 
     Of rows that share that id, one stays. Rows with a null id all stay, as none of
     them can be named as a group's representative.
     """
-    found = assign(docs, id_col, text_col)
+    return first_rows(docs, assign(docs, id_col, text_col), id_col)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that stay, by the components ``found`` (doc_id, component_id)."""
     keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(fresh("keep_id", docs.columns))).distinct()
     nulls = docs.filter(column(id_col).isNull())
     named = docs.join(keep, docs[id_col] == keep[keep.columns[0]], "left_semi")
