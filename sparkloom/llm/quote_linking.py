@@ -10,14 +10,19 @@
    several the latest). Messages that answer none begin a thread. Threads come in
    order of their first turn, the messages of a thread in order of their turns, so
    each message stands after the one that it answers.
-4. A message's text is its own lines, without quotes and the line that introduces one.
+4. A message's text is its own lines, without quotes and the line that introduces one
+   (a line that ends in "wrote:" before a line of a deeper level, at any level).
+
+A text is split into lines once and its passages are found by a pass over the lines, so
+the work is in proportion to its length.
 
 Only DataFrame functions are used. Thread roots are found by pointer doubling over
 the messages that have links. "Last earlier" and the position in the conversation
 are worked out in two steps, within a bucket and over buckets, so that a conversation
 that holds a large part of all messages isn't one task's.
 
-Defined results: a null text has no passage and stays null; an empty one stays empty.
+Defined results: a null text has no passage and stays null; an empty one stays empty;
+a very long one is parsed whole.
 Text without quotes is left exactly as it is. Messages are told apart by (conv_id, turn):
 rows that share both keep a row each, in order of role and text, and share their links.
 A message with a null conv_id or turn links to nothing and is a conversation of its own,
@@ -34,14 +39,19 @@ from ._shared import column, shared_dir, staged, table
 
 MARK = r"^(?:[ \t]*>)+"
 QUOTED = r"(?m)^[ \t]*>"
-#: A line of one's own that introduces a quote.
+#: A line that introduces a quote.
 INTRODUCES = r"(wrote|écrit|escribió|schrieb)[ \t]*:[ \t\r]*$"
 TURNS = 1024
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _lines(text: Column) -> Column:
-    """The lines as structs: level, content (without marks and white space around), own (the line as it is)."""
-    return F.transform(
+    """The lines as structs: level, content (without marks and white space around), own (the line as it is), intro (whether it says who wrote the quote after it)."""
+    plain = F.transform(
         F.split(text, "\n"),
         lambda line: F.struct(
             F.length(F.regexp_replace(F.regexp_extract(line, MARK, 0), "[^>]", "")).alias("level"),
@@ -50,43 +60,50 @@ def _lines(text: Column) -> Column:
         ),
     )
 
+    def told(lines: Column) -> Column:
+        deeper = lambda x, i: F.coalesce(F.get(lines, i + 1)["level"] > x["level"], F.lit(False))
+        return F.transform(lines, lambda x, i: F.struct(x["level"].alias("level"), x["content"].alias("content"), x["own"].alias("own"), (deeper(x, i) & x["content"].rlike(INTRODUCES)).alias("intro")))
 
-def _introduces(lines: Column, i: Column) -> Column:
-    """Whether line i is the line before a quote that says who wrote it."""
-    line, following = F.get(lines, i), F.get(lines, i + 1)
-    return (line["level"] == 0) & line["content"].rlike(INTRODUCES) & F.coalesce(following["level"] > 0, F.lit(False))
+    return _let(plain, told)
 
 
 def _passages(lines: Column) -> Column:
     """Structs: level, and normalised text, of every passage."""
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    speaks = lambda i: (F.get(lines, i)["content"] != "") & ~_introduces(lines, i)
-    joined = lambda i, j: F.coalesce(speaks(j) & (F.get(lines, i)["level"] == F.get(lines, j)["level"]), F.lit(False))
-    # get() is null outside the lines
-    first = F.filter(places, lambda i: speaks(i) & ~joined(i, i - 1))
-    last = F.filter(places, lambda i: speaks(i) & ~joined(i, i + 1))
-    return F.zip_with(
-        first, last,
-        lambda a, b: F.struct(
-            F.get(lines, a)["level"].alias("level"),
-            F.lower(F.trim(F.regexp_replace(F.array_join(F.transform(F.slice(lines, a + 1, b - a + 1), lambda x: x["content"]), " "), r"[ \t\r]+", " "))).alias("passage"),
+    # a line that is in no passage has no level here; get() is null outside the lines
+    levels = F.transform(lines, lambda x: F.when((x["content"] != "") & ~x["intro"], x["level"]))
+
+    def cut(level: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(level) - 1)
+        edges = lambda step: F.filter(places, lambda i: F.get(level, i).isNotNull() & ~F.get(level, i).eqNullSafe(F.get(level, i + step)))
+        return F.zip_with(edges(-1), edges(1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return F.transform(
+        _let(levels, cut),
+        lambda x: F.struct(
+            F.get(lines, x["a"])["level"].alias("level"),
+            F.lower(F.trim(F.regexp_replace(F.array_join(F.transform(F.slice(lines, x["a"] + 1, x["b"] - x["a"] + 1), lambda y: y["content"]), " "), r"[ \t\r]+", " "))).alias("passage"),
         ),
     )
 
 
-def _own_text(text: Column, lines: Column) -> Column:
-    kept = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (F.get(lines, i)["level"] == 0) & ~_introduces(lines, i))
-    stripped = F.regexp_replace(F.array_join(F.transform(kept, lambda i: F.get(lines, i)["own"]), "\n"), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    return F.when(text.rlike(QUOTED), stripped).otherwise(text)
+def _own_text(lines: Column) -> Column:
+    kept = F.filter(lines, lambda x: (x["level"] == 0) & ~x["intro"])
+    return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["own"]), "\n"), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 
 def parse(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, role, text without quotes, passages)."""
+    """(conv_id, turn, role, text without quotes, passages as structs of level and hash); a text's lines are read once."""
+    said = F.col("said")
     base = messages.select(
         column(conv_col).cast("long").alias("conv_id"), column(turn_col).cast("long").alias("turn"), column(role_col).alias("role"), column(text_col).alias("said")
-    ).withColumn("lines", _lines(F.col("said")))
-    passages = F.when(F.col("said").isNotNull(), _passages(F.col("lines")))
-    return base.select("conv_id", "turn", "role", _own_text(F.col("said"), F.col("lines")).alias("text"), passages.alias("passages"))
+    )
+
+    def taken_apart(lines: Column) -> Column:
+        text = F.when(said.rlike(QUOTED), _own_text(lines)).otherwise(said)
+        hashed = F.transform(_passages(lines), lambda x: F.struct(x["level"].alias("level"), F.unhex(F.sha2(x["passage"], 256)).alias("hash")))
+        return F.struct(text.alias("text"), hashed.alias("passages"))
+
+    return base.withColumn("parts", F.when(said.isNotNull(), _let(_lines(said), taken_apart))).select("conv_id", "turn", "role", "parts.text", "parts.passages")
 
 
 def _last_earlier(quotes: DataFrame, owned: DataFrame) -> DataFrame:
@@ -105,15 +122,23 @@ def _last_earlier(quotes: DataFrame, owned: DataFrame) -> DataFrame:
     return near.join(far, [*key, "bucket"]).select(*key, "turn", "level", F.coalesce("near", "far").alias("source_turn"))
 
 
-def link(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, hash, source_conv, source_turn): quoted passages and where they come from (or null)."""
-    passages = parsed.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("passages").alias("p"))
-    passages = passages.select("conv_id", "turn", "p.level", F.sha2("p.passage", 256).alias("hash"))
+def passages_of(parsed: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, hash) of every passage of a message that has both ids."""
+    rows = parsed.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode_outer("passages").alias("p"))
+    return rows.select("conv_id", "turn", "p.level", "p.hash").filter("hash IS NOT NULL")
+
+
+def link(passages: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, hash, source_conv, source_turn): quoted passages and where they come from (or null).
+
+    Only owned passages that somebody quotes go on, one row per hash where the whole corpus is meant.
+    """
     quotes = staged(passages.filter("level > 0").distinct(), "quotes")
     owned = passages.filter("level = 0").select("conv_id", "turn", "hash")
     within = staged(_last_earlier(quotes, owned), "within")
     missing = within.filter("source_turn IS NULL").select("hash").distinct()
-    first = owned.join(missing, "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    # a task adds up its own before anything is moved, so a common passage is one row a task
+    first = owned.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first")).join(missing, "hash", "left_semi")
     first = staged(first.select("hash", F.col("first.conv_id").alias("first_conv"), F.col("first.turn").alias("first_turn")), "first")
     found = within.join(first, "hash", "left")
     inside = F.col("source_turn").isNotNull()
@@ -149,7 +174,8 @@ def threads(links: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, position, turn, role, text, parent_turn, thread_turn, depth, n_quotes, n_linked): a row per message, ordered by position."""
     parsed = parse(messages, conv_col, turn_col, role_col, text_col)
-    found = staged(threads(link(parsed)), "threads")
+    # hashes are stored, texts are not: they are parsed again where they are placed
+    found = staged(threads(link(staged(passages_of(parsed), "passages"))), "threads")
     zero = F.lit(0).cast("long")
     rows = parsed.drop("passages").join(found, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "text", "parent_turn", F.coalesce("thread_turn", "turn").alias("thread_turn"),
@@ -182,8 +208,8 @@ WITH RECURSIVE m AS (
   SELECT *, length(regexp_replace(regexp_extract(own, '^(?:[ \t]*>)+', 0), '[^>]', '', 'g')) AS level,
     regexp_replace(regexp_replace(own, '^(?:[ \t]*>)+', ''), '^[ \t\r]+|[ \t\r]+$', '', 'g') AS content FROM l0
 ), l2 AS (
-  SELECT *, level = 0 AND regexp_matches(content, '(wrote|écrit|escribió|schrieb)[ \t]*:[ \t\r]*$')
-    AND coalesce(lead(level) OVER (PARTITION BY rid ORDER BY i) > 0, false) AS intro FROM l1
+  SELECT *, regexp_matches(content, '(wrote|écrit|escribió|schrieb)[ \t]*:[ \t\r]*$')
+    AND coalesce(lead(level) OVER (PARTITION BY rid ORDER BY i) > level, false) AS intro FROM l1
 ), l3 AS (
   SELECT *, content <> '' AND NOT intro AS speaks FROM l2
 ), l4 AS (
