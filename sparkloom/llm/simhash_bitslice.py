@@ -20,8 +20,9 @@ Defined results: a null or blank text has fingerprint zero and links like any
 other; a text of fewer words than a shingle is one shingle. Ties at exactly half
 give 0. Rows with the same doc_id stay rows of their own; a null doc_id is kept
 and is never a component's id unless the component has no other (then null).
-An empty table gives an empty result. Other columns are ignored by ``assign``
-and kept by ``representatives``, whatever their names.
+Very long texts are read whole, their hashes in pieces of fixed size. An empty table
+gives an empty result. Other columns are ignored by ``assign`` and kept by
+``representatives``, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,34 +100,48 @@ def moved(planes: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def _over(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """Words whose bit is set where the number in the counter's planes (lowest first) is over ``radius``."""
+    over, equal = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
+    for k in reversed(range(len(counter))):
+        if radius >> k & 1:
+            equal &= counter[k]
+        else:
+            over |= equal & counter[k]
+            equal &= ~counter[k]
+    return over
+
+
 def near_at(planes: np.ndarray, by: int, live: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Words whose bit i is set where value i and value i + by differ in at most ``radius`` (up to 3) bits.
+    """Words whose bit i is set where value i and value i + by differ in at most ``radius`` (under 64) bits.
 
-    Full adders take two planes at a time into a two-bit counter; a carry out of
-    it, or a count over the radius, strikes a place off ``live`` for good, and
+    Carry-save counters: level k is a plane of weight 2**k; a full adder takes two
+    inputs at a time into it and hands a carry to the next level. A carry out of the
+    last level, or a count over the radius, strikes a place off ``live`` for good, and
     once none is live the remaining planes are not looked at.
     """
     other = moved(planes, by)
     width = other.shape[1]
     live = live[:width].copy()
-    ones = np.zeros(width, np.uint64)
-    twos = np.zeros(width, np.uint64)
-    for b in range(0, 64, 2):
-        x = planes[b, :width] ^ other[b]
-        y = planes[b + 1, :width] ^ other[b + 1]
-        half_sum = ones ^ x
-        carry = (ones & x) | (half_sum & y)
-        ones = half_sum ^ y
-        live &= ~(twos & carry)  # four differences
-        twos ^= carry
-        if b % 8 == 6 and not live.any():
-            return live
-    if radius < 3:
-        live &= ~(ones & twos)
-    if radius < 2:
-        live &= ~twos
-    if radius < 1:
-        live &= ~ones
+    levels = max(1, radius.bit_length())
+    counter = [np.zeros(width, np.uint64) for _ in range(levels)]
+    waiting: list[np.ndarray | None] = [None] * levels
+    for b in range(64):
+        carry = planes[b, :width] ^ other[b]
+        for k in range(levels):
+            if (x := waiting[k]) is None:
+                waiting[k] = carry
+                break
+            waiting[k] = None
+            half = counter[k] ^ x
+            carry, counter[k] = (counter[k] & x) | (half & carry), half ^ carry
+        else:
+            live &= ~carry
+        if b % 8 == 7 and b >= radius:
+            if radius + 1 < 1 << levels:
+                live &= ~_over(counter, radius)
+            if not live.any():
+                break
     return live
 
 
@@ -278,39 +293,66 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def grouped(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``prints`` (doc_id, fp); ``distinct`` is (fp, first_id)."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """(doc_id, text_hash, more): what tells the rows of ``docs`` apart."""
+    return docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("text_hash"), *more)
+
+
+def first_of_each(prints: DataFrame, *more) -> DataFrame:
+    """One row per ``fp`` of ``prints``: ``first``, its row with the smallest id (nulls last), then text hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_hash"))).alias("first")
+    return prints.groupBy("fp").agg(first, *more)
+
+
+def rooted(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, first, root) for every row of ``distinct`` (fp, first)."""
     roots = components(edges)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = staged(rooted, "rooted")
-    smallest = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+    found = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return staged(found, "rooted")
+
+
+def grouped(prints: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``prints``."""
+    smallest = staged(rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id")), "smallest")
     by_print = staged(rooted.join(smallest, "root").select("fp", "component_id"), "byprint")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def first_rows(docs: DataFrame, prints: DataFrame, rooted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each root: the one with the smallest id (nulls last), then the smallest hash of its text."""
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+    names = [fresh("keep_id", docs.columns), fresh("keep_text", docs.columns)]
+    keep = staged(kept.toDF(*names), "kept")
+    on = column(id_col).eqNullSafe(keep[names[0]]) & (F.xxhash64(column(text_col)) == keep[names[1]])
+    rows = docs.join(keep, on, "left_semi")
+    repeated = prints.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return rows
+    # rows that share id and text: one of them
+    h = fresh("text_hash", docs.columns)
+    return rows.withColumn(h, F.xxhash64(column(text_col))).dropDuplicates([id_col, h]).drop(h)
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    small_batches(docs.sparkSession)
+    prints = staged(keyed(docs, id_col, text_col, fingerprint_column(column(text_col)).alias("fp")), "prints")
+    distinct = staged(first_of_each(prints), "distinct")
+    return prints, rooted(distinct, links(distinct))
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
-    small_batches(docs.sparkSession)
-    prints = staged(docs.select(column(id_col).alias("doc_id"), fingerprint_column(column(text_col)).alias("fp")), "prints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    return grouped(prints, distinct, links(distinct))
+    return grouped(*_prints(docs, id_col, text_col))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate component of ``docs``: the one with the smallest id, all its columns kept.
+    """One row of each near-duplicate component of ``docs``, all its columns kept.
 
-    Of rows that share that id, one stays. Rows with a null id all stay, as none of
-    them can be named as a group's representative.
+    It is the row with the smallest id, of rows that share it the one with the smallest
+    hash of its text, so the choice doesn't depend on the order of the rows. A null id
+    comes after all others. Of rows that share id and text any one stays.
     """
-    return first_rows(docs, assign(docs, id_col, text_col), id_col)
-
-
-def first_rows(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` that stay, by the components ``found`` (doc_id, component_id)."""
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(fresh("keep_id", docs.columns))).distinct()
-    nulls = docs.filter(column(id_col).isNull())
-    named = docs.join(keep, docs[id_col] == keep[keep.columns[0]], "left_semi")
-    return named.dropDuplicates([id_col]).unionByName(nulls)
+    return first_rows(docs, *_prints(docs, id_col, text_col), id_col, text_col)
 
 
 def op10_simhash_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from sparkloom.llm import near_copies as m
 from sparkloom.llm import simhash_bitslice
 
@@ -28,17 +30,25 @@ def corpus():
     return [(500 - i, t) for i, t in enumerate(rows)] + [(None, rows[6]), (500 - 7, "a second row of this id")]
 
 
-def components(rows):
+def grouping(rows):
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
             if group[i] != group[j] and similar(rows[i][1], rows[j][1]):
                 group = [group[j] if g == group[i] else g for g in group]
-    smallest = {}
+    return group
+
+
+def by_row(rows):
+    group, smallest = grouping(rows), {}
     for (i, _), g in zip(rows, group):
         if i is not None:
             smallest[g] = min(i, smallest.get(g, i))
-    return sorted(((i, smallest.get(g)) for (i, _), g in zip(rows, group)), key=str)
+    return [(i, smallest.get(g)) for (i, _), g in zip(rows, group)]
+
+
+def components(rows):
+    return sorted(by_row(rows), key=str)
 
 
 def test_components_by_jaccard(spark, monkeypatch):
@@ -55,9 +65,40 @@ def test_components_by_jaccard(spark, monkeypatch):
 def test_pipeline_drops_copies_at_four_fifths(spark):
     import corpus_pipeline
 
-    rows = [r for r in corpus() if r[0] is not None and r[0] != 493]
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert kept.columns == df.columns
+    ids = sorted(r["doc_id"] for r in kept.collect())
+    # a component whose smallest row has an id that another component's smallest row has too keeps its own row
+    assert ids == sorted(c for c in {g: c for g, c in zip(grouping(rows), [c for _, c in by_row(rows)])}.values())
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies of one text that are not all alike pairwise, and another text that shares half of them."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 6)):
+            copy[at] = f"c{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy if i % 4 else copy[:60] + [f"o{k}" for k in range(60)])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {c for _, c in components(rows)}
+    got = sorted(((r["doc_id"], r["component_id"]) for r in m.assign(df).collect()), key=str)
+    assert got == components(rows)
+
+
+def test_pivots_and_bit_planes_find_different_links():
+    """A chain in which only neighbours are alike: the smallest node is like few, the planes find the others."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i * 10 : i * 10 + 150]) for i in range(20)]
+    sets = [np.unique((m.shingles(t) >> np.uint64(32)).astype("<u4")) for t in texts]
+    prints = np.array([m.print_of(m.shingles(t)) for t in texts], np.int64).view(np.uint64)
+    nodes = np.arange(20)
+    assert m.alike(sets[0], sets[1]) and not m.alike(sets[0], sets[2])
+    found = m.bucket_links(nodes, prints, nodes, sets, np.zeros(20, int), np.zeros(20, int))
+    assert {tuple(sorted(x)) for x in found} == {(i, i + 1) for i in range(19)}
 
 
 def test_empty(spark):
