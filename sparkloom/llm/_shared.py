@@ -21,7 +21,7 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only on one machine (a local master) where none is set."""
     set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_by_cluster:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         return set_by_cluster.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="sparkloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
@@ -84,6 +86,22 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     raise AssertionError
 
 
+#: A key with more than one in so many of the rows is joined without a shuffle; there are fewer such keys than this.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, which has one row per ``key`` and says in ``n`` how many of ``rows`` have it.
+
+    Frequent keys (fewer than ``HOT`` by definition, so they can be broadcast) stay where
+    they are; no other key brings more than one in ``HOT`` of the rows to a task.
+    """
+    limit = (per_key.agg(F.sum(n)).first()[0] or 0) // HOT
+    hot = F.broadcast(per_key.filter(F.col(n) > limit))
+    rest = rows.join(hot.select(key), key, "left_anti").join(per_key.filter(F.col(n) <= limit), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

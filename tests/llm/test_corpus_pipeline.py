@@ -2,10 +2,14 @@ import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from sparkloom.llm import line_chunks, quality_ledger, retrieval_packing, simhash_bitslice  # noqa: E402
+from sparkloom.llm import quality_ledger, retrieval_packing  # noqa: E402
 from sparkloom.llm._shared import staged, table  # noqa: E402
 
 
+from test_line_chunks import deduplicated  # noqa: E402
+from test_near_copies import by_row  # noqa: E402
+
+
 def test_stages_against_plain_ones(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     names = docs.columns
@@ -27,21 +31,11 @@ def test_stages_against_plain_ones(spark, sf_dir):
     assert len({r["doc_id"] for r in mild.collect()} & before) >= 0.98 * len(before)
 
     lines = staged(pipeline.line_dedup(spark, mild, sf_dir), "t3")
-    seen, expected = set(), {}
-    for r in sorted(mild.collect(), key=lambda r: r["doc_id"]):
-        own, kept = r["text"].encode().split(b"\n"), []
-        for a, b, may in line_chunks.chunks(r["text"].encode()):
-            chunk = b"\n".join(own[a:b])
-            if not (may and chunk in seen):
-                kept += own[a:b]
-            seen.add(chunk) if may else None
-        expected[r["doc_id"]] = b"\n".join(kept).decode()
-    assert {r["doc_id"]: r["text"] for r in lines.collect()} == expected
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {i: t for (i, _), t in deduplicated([(r["doc_id"], r["text"]) for r in mild.collect()]).items()}
     assert all(r["n_chars"] == len(r["text"]) for r in lines.collect())
 
     near = staged(pipeline.near_dedup(spark, lines, sf_dir), "t4")
-    groups = {r["component_id"] for r in simhash_bitslice.assign(lines).collect()}
-    assert {r["doc_id"] for r in near.collect()} == groups
+    assert sorted(r["doc_id"] for r in near.collect()) == sorted({c for _, c in by_row([(r["doc_id"], r["text"]) for r in lines.collect()])})
 
     packed = pipeline.packing(spark, near, sf_dir).collect()
     use = retrieval_packing.vocabulary(retrieval_packing.default_vocabulary())

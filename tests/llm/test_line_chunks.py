@@ -6,6 +6,25 @@ from hypothesis import strategies as st
 from sparkloom.llm import line_chunks as m
 
 
+def plain_chunks(lines):
+    """(first line, line after the last) by the rule: a chunk of 2 to 16 lines ends where the hash of its last two lines is even."""
+    mask, out, start = 2**64 - 1, [], 0
+    hashes = [m.xxhash.xxh3_64_intdigest(line) for line in lines]
+    for end in range(1, len(lines) + 1):
+        two = hashes[end - 1] + (hashes[end - 2] * 0x9E3779B97F4A7C15 if end > 1 else 0) & mask
+        even = ((two & mask) ^ (two & mask) >> 32) % 2 == 0
+        if end == len(lines) or end - start >= 16 or (end - start >= 2 and even):
+            out.append((start, end))
+            start = end
+    return out
+
+
+def chunked(text):
+    """As m.chunks, without it."""
+    lines = text.encode().split(b"\n") if text else []
+    return [(a, b, sum(bool(x.strip()) for x in lines[a:b]) >= 2) for a, b in plain_chunks(lines)]
+
+
 def brute(rows):
     """Keeps the first chunk of each sort in the order of id (null first), text hash being a tie's order only."""
     seen, out = {}, {}
@@ -14,7 +33,7 @@ def brute(rows):
             out[i, t] = None
             continue
         lines, kept = t.encode().split(b"\n"), []
-        for a, b, may in m.chunks(t.encode()):
+        for a, b, may in chunked(t):
             chunk = b"\n".join(lines[a:b])
             if may and seen.setdefault(chunk, (i, t, a)) != (i, t, a):
                 continue
@@ -45,9 +64,8 @@ def test_same_as_brute_force(spark, monkeypatch):
     df = frame(spark, corpus())
     expected = brute(corpus())
     assert sum(t != e for (_, t), e in expected.items()) > 30
-    for hasher in (m.xxhash.xxh3_64_intdigest, lambda x: m.xxhash.xxh3_64_intdigest(x) % 50):  # and one hash for many chunks
-        if hasher is not m.xxhash.xxh3_64_intdigest:
-            monkeypatch.setattr(m, "removable", lambda t, real=m.removable: [(h % 50, a, c) for h, a, c in real(t)])
+    for real in (m.hash_of, lambda c, real=m.hash_of: real(c) % 50):  # and one hash for many chunks
+        monkeypatch.setattr(m, "hash_of", real)
         got = m.deduplicate(df)
         assert got.columns == [*df.columns, "deduplicated_1"]
         rows = got.select("doc_id", "text", "deduplicated_1.text", "deduplicated_1.n_lines", "deduplicated_1.n_removed").collect()
@@ -57,10 +75,11 @@ def test_same_as_brute_force(spark, monkeypatch):
             assert n_lines == (t.count("\n") + 1 if t else 0)
 
 
-def test_long_passage_goes(spark):
-    expected = brute(corpus())
+def test_long_line_goes_as_a_passage(spark):
+    """A repeated line of 60 words between lines of one's own: no chunk can hold it alone."""
     long = " ".join(f"passage{i}" for i in range(60))
-    assert sum(long in (t or "") for t in expected.values()) == 1
+    rows = m.deduplicate(frame(spark, corpus()), passages=True).select("doc_id", "deduplicated_1.text").collect()
+    assert sum(long in (r["text"] or "") for r in rows) == 1
 
 
 def passages_corpus(n_lines, fewest, most, n=30):
@@ -96,20 +115,21 @@ def test_passages_of_short_lines_go_whole(spark):
     assert set(expected) - set(whole) <= short
 
 
-def test_passages_same_as_brute_force(spark):
-    rows = corpus()
+def deduplicated(rows):
+    """(doc_id, text) -> text without repeated chunks and passages, by plain loops."""
     first, seen = {}, {}
     order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, ""))
     expected = {}
     for i, t in order:
         lines, gone, repeated = t.split("\n") if t else [], set(), set()
-        for a, b, may in m.chunks(t.encode()):
+        for a, b, may in chunked(t):
             if may and seen.setdefault("\n".join(lines[a:b]), (i, t, a)) != (i, t, a):
                 gone |= set(range(a, b))
         said = [k for k, x in enumerate(lines) if x.strip()]
         for a, b in zip(said, said[1:]):
             if first.setdefault((lines[a], lines[b]), (i, t, a)) != (i, t, a):
                 repeated.add((a, b))
+        gone |= {k for k in said if len(lines[k].split()) >= m.PASSAGE_WORDS and first.setdefault((lines[k],), (i, t, k)) != (i, t, k)}
         runs = []
         for a, b in sorted(repeated):
             if runs and runs[-1][-1] == a:
@@ -120,6 +140,12 @@ def test_passages_same_as_brute_force(spark):
             if sum(len(lines[k].split()) for k in run) >= m.PASSAGE_WORDS:
                 gone |= set(range(run[0], run[-1] + 1))
         expected[i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return expected
+
+
+def test_passages_same_as_brute_force(spark):
+    rows = corpus()
+    expected = deduplicated(rows)
     got = {(r[0], r[1]): r[2] for r in m.deduplicate(frame(spark, rows), passages=True).select("doc_id", "text", "deduplicated_1.text").collect()}
     assert {k: v for k, v in got.items() if k[1] is not None} == expected
     assert expected != {k: v for k, v in brute(rows).items() if k[1] is not None}
@@ -129,13 +155,15 @@ def test_passages_same_as_brute_force(spark):
 
 @given(st.lists(st.sampled_from(["a", "b", "", "long " * 60, "c d"]), max_size=60))
 def test_chunks_tile_the_lines(lines):
-    found = m.chunks("\n".join(lines).encode())
+    text = "\n".join(lines)
+    found = m.chunks(text.encode())
+    assert found == chunked(text)
     at = 0
     for a, b, may in found:
         assert a == at and b > a and b - a <= m.MOST_LINES
-        assert not may or b - a >= 2 or len(lines[a].split()) >= m.LONG_LINE
+        assert not may or b - a >= 2
         at = b
-    assert at == (len(lines) if "\n".join(lines) else 0)
+    assert at == (len(lines) if text else 0)
 
 
 def test_boundaries_resist_shifts():
@@ -146,5 +174,22 @@ def test_boundaries_resist_shifts():
     assert len(before & after) > 0.9 * len(before)
 
 
+def test_very_long_text(spark):
+    lines = [f"line {i} of a text" for i in range(60_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["first", *lines[30_000:], "last"]))]
+    got = {r["doc_id"]: r["deduplicated_1"] for r in m.deduplicate(frame(spark, rows), passages=True).select("doc_id", "deduplicated_1").collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["text"] == "first\nlast"
+
+
+def test_frequent_keys_are_joined_apart(spark):
+    """Three in five rows have one key; the join gives what a plain one does."""
+    from sparkloom.llm import _shared
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 5 < 3, 0, id) AS h")
+    per_key = rows.groupBy("h").count().withColumnRenamed("count", "n").filter("n > 1 OR h % 2 = 1")
+    got = _shared.join_counted(rows, per_key, "h")
+    assert sorted(map(tuple, got.select("h", "id", "n").collect())) == sorted(map(tuple, rows.join(per_key, "h").select("h", "id", "n").collect()))
+
+
 def test_empty(spark):
     assert m.deduplicate(frame(spark, [])).collect() == []
