@@ -26,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the line chunks that an earlier one has; n_chars follows the text."""
-    done = line_chunks.deduplicate(docs)
+    """All documents, without the line chunks and passages that an earlier one has; n_chars follows the text."""
+    done = line_chunks.deduplicate(docs, passages=True)
     text = F.col(f"{done.columns[-1]}.text")
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return done.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
