@@ -102,6 +102,17 @@ def join_counted(rows: DataFrame, per_key: DataFrame, key: str, n: str = "n") ->
     return rows.join(hot, key).unionByName(rest)
 
 
+def join_salted(rows: DataFrame, per_key: DataFrame, key: str, spread, n: str = "n") -> DataFrame:
+    """As ``join_counted``, for ``per_key`` rows too large to broadcast: a frequent key's row is copied and ``rows`` are dealt out over the copies by the number ``spread``."""
+    limit = F.lit(max((per_key.agg(F.sum(n)).first()[0] or 0) // HOT, 1))
+    copies, salt = fresh("copies", [*rows.columns, *per_key.columns]), fresh("salt", [*rows.columns, *per_key.columns])
+    sized = per_key.withColumn(copies, F.ceil(F.col(n) / limit))
+    hot = F.broadcast(sized.filter(F.col(copies) > 1).select(key, copies))  # fewer than HOT rows
+    dealt = rows.join(hot, key, "left").withColumn(salt, F.pmod(spread, F.coalesce(copies, F.lit(1)))).drop(copies)
+    copied = sized.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1))).drop(copies)
+    return dealt.join(copied, [key, salt]).drop(salt)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -218,11 +218,10 @@ def other_links(members: DataFrame, joined: DataFrame, sets: DataFrame) -> DataF
     return together.mapInPandas(_compare, PAIR)
 
 
-def links(sketches: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(a, b): links that join up every component. ``sketches`` has fp and members, ``distinct`` fp, print and keys."""
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b): links that join up every component. ``distinct`` has fp, print, keys and members."""
     members = buckets(distinct)
-    wanted = members.select("fp").distinct()
-    sets = staged(sketches.select("fp", "members").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.any_value("members").alias("members")), "sets")
+    sets = staged(distinct.select("fp", "members").join(members.select("fp").distinct(), "fp", "left_semi"), "sets")
     joined = staged(pivot_links(members, sets), "pivotlinks")
     return joined.unionAll(staged(other_links(members, joined, sets), "otherlinks"))
 
@@ -231,8 +230,9 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     small_batches(docs.sparkSession)
     keyed = simhash_bitslice.keyed(docs, id_col, text_col, sketch_column(column(text_col)).alias("sketch"))
     prints = staged(keyed.select("doc_id", "text_hash", "sketch.*"), "sketches")
-    distinct = staged(simhash_bitslice.first_of_each(prints, F.any_value("print").alias("print"), F.any_value("keys").alias("keys")), "nodes")
-    return prints, simhash_bitslice.rooted(distinct, links(prints, distinct))
+    # exact copies collapse in each task before anything is moved
+    distinct = staged(simhash_bitslice.first_of_each(prints, *(F.any_value(c).alias(c) for c in ("print", "keys", "members"))), "nodes")
+    return prints, simhash_bitslice.rooted(distinct, links(distinct))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,24 +2,29 @@
 
 ``write`` makes a WARC record of every page and stores it in two tables: payload
 bytes once per SHA-256, and the exact record headers with the digest they belong
-to. ``read`` puts the original records together again by a join on the digest and
-checks every payload's length, SHA-256 and SHA-1 against its record; a mismatch
-stops the job. ``write_warc`` and ``read_warc`` exchange records with WARC files.
+to. ``read`` verifies every stored payload once (length, SHA-256, SHA-1) and puts the
+original records together again by a join on the digest; a payload that isn't what its
+record says stops the job. ``write_warc`` and ``read_warc`` exchange records with WARC
+files, one gzip member a record; files of other makers are read too.
 
 Among records whose payloads are equal and have ``SHARED`` bytes or more, the one
 with the largest id is the response; the others are revisits that name it. A join
-decides this on digests alone, so payload bytes are moved once, deflated.
+decides this on digests alone, so payload bytes are moved once, deflated. Payloads that
+very many records share are joined apart from the others.
 
 Defined results: a null html is an empty payload. A null url becomes an empty
-target URI. Rows with a null page_id are records without an id: they are
-responses, never referred to. Rows with the same page_id are records of their own;
-those with equal payloads as well that are the largest of their group are each a
-response. An empty table gives an empty archive. Other columns are ignored.
+target URI; a url with line ends is kept exactly in a field of its own, as JSON, with
+the line ends escaped in the target URI. Rows with a null page_id are records without an
+id: they are responses, never referred to. Rows with the same page_id are records of
+their own; those with equal payloads as well that are the largest of their group are each
+a response. Very long payloads are kept whole. An empty table gives an empty archive.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import column, small_batches, staging_path, table
+from ._shared import column, join_counted, join_salted, small_batches, staging_path, table
 
 SHARED = 1000
 DATE = "2024-01-31T00:00:00Z"
@@ -52,7 +57,8 @@ def header() -> Column:
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", _record_id(F.col("page_id"))),
         line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\r\n]", " ")),
+        line("WARC-Target-URI", F.replace(F.replace(F.coalesce(F.col("url"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
+        F.when(F.col("url").rlike("[\r\n]"), line("X-Target", F.to_json(F.struct("url")))).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.when(is_revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("refers_to"))))).otherwise(""),
@@ -77,12 +83,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     # bytes once per digest; equal ones of a task collapse before the shuffle
     once = digested.select("sha256", "payload_bytes", "payload_digest", "page_id", deflated("payload").alias("deflated"))
     (
-        once.groupBy("sha256").agg(F.any_value("deflated").alias("deflated"), F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"), F.max("page_id").alias("last_id"))
+        once.groupBy("sha256").agg(F.any_value("deflated").alias("deflated"), F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"), F.max("page_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
         .write.parquet(f"{path}/payloads")
     )
-    known = spark.read.parquet(f"{path}/payloads").select("sha256", "last_id")
+    known = spark.read.parquet(f"{path}/payloads").select("sha256", "last_id", "n")
     responsible = F.col("page_id").isNull() | (F.col("payload_bytes") < SHARED) | (F.col("page_id") == F.col("last_id"))
-    typed = digested.drop("payload").join(known, "sha256").withColumns(
+    typed = join_counted(digested.drop("payload"), known, "sha256").withColumns(
         {"record_type": F.when(responsible, "response").otherwise("revisit"), "refers_to": F.when(~responsible, F.col("last_id"))}
     )
     typed.select("page_id", "sha256", header().alias("header")).write.parquet(f"{path}/headers")
@@ -94,22 +100,36 @@ RECORD = T.StructType(
 
 
 def parse_header(text: str) -> dict[str, str]:
+    """The fields of a record's header by name in lower case; a line that begins with white space goes on with the one before."""
     first, *lines = text.split("\r\n")
-    if first != "WARC/1.1":
+    if not first.startswith("WARC/"):
         raise ValueError(f"not a WARC record: {first[:40]!r}")
-    return {name: value for name, _, value in (line.partition(": ") for line in lines if line)}
+    fields, name = {}, ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+        elif line:
+            name, _, value = line.partition(":")
+            fields[name := name.strip().lower()] = value.strip()
+    return fields
 
 
-def page_of(record_id: str) -> int | None:
-    number = record_id.removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+def page_of(record_id: str | None) -> int | None:
+    """The page's id in a record id of ours; none in any other."""
+    number = (record_id or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if number.isascii() and number.removeprefix("-").isdigit() else None
+
+
+def _url(head: dict[str, str]) -> str:
+    return json.loads(head["x-target"])["url"] if "x-target" in head else head.get("warc-target-uri", "")
 
 
 def _row(head: dict[str, str]) -> tuple:
-    refers = head.get("WARC-Refers-To")
+    length = head.get("x-payload-length")
+    digest = head.get("warc-payload-digest")
     return (
-        page_of(head["WARC-Record-ID"]), head["WARC-Target-URI"], int(head["X-Payload-Length"]),
-        head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], page_of(refers) if refers else None,
+        page_of(head.get("warc-record-id")), _url(head), int(length) if length else None,
+        digest.removeprefix("sha1:") if digest else None, head.get("warc-type"), page_of(head.get("warc-refers-to")),
     )
 
 
@@ -120,68 +140,147 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame({n: pd.array(list(v), dtype=kinds.get(n, object)) for n, v in columns.items()})
 
 
-def _verified(with_payload: bool):
-    names = [*RECORD.names, *(["payload"] if with_payload else [])]
+def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What each stored payload is; one that isn't its SHA-256 stops the job."""
+    for frame in frames:
+        rows = []
+        for sha256, packed, n in zip(frame["sha256"], frame["deflated"], frame["n"]):
+            payload = zlib.decompress(packed)
+            if hashlib.sha256(payload).hexdigest() != sha256:
+                raise ValueError(f"the payload {sha256} is another one")
+            rows.append((sha256, n, len(payload), hashlib.sha1(payload).hexdigest()))
+        yield pd.DataFrame(rows, columns=["sha256", "n", "found_bytes", "found_digest"])
 
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text, sha256, packed in zip(frame["header"], frame["sha256"], frame["deflated"]):
-                payload, row = zlib.decompress(packed), _row(parse_header(text))
-                found = len(payload), hashlib.sha1(payload).hexdigest(), hashlib.sha256(payload).hexdigest()
-                if found != (row[2], row[3], sha256):
-                    raise ValueError(f"the payload of {row[0]} is not what its record says: {found}")
-                rows.append((*row, payload) if with_payload else row)
-            yield _frame(rows, names)
 
-    return verify
+def _heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield _frame([(*_row(parse_header(text)), sha256) for text, sha256 in zip(frame["header"], frame["sha256"])], [*RECORD.names, "sha256"])
+
+
+@F.pandas_udf(T.BinaryType())
+def inflated(packed: pd.Series) -> pd.Series:
+    return pd.Series([zlib.decompress(p) for p in packed], dtype=object)
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """The archive's records, put together and verified; ``payload`` only if asked for."""
-    headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads").select("sha256", "deflated")
-    schema = T.StructType([*RECORD.fields, *([T.StructField("payload", T.BinaryType())] if with_payload else [])])
-    return headers.join(payloads, "sha256").mapInPandas(_verified(with_payload), schema)
+    payloads = spark.read.parquet(f"{path}/payloads")
+    found = payloads.select("sha256", "deflated", "n").mapInPandas(_verify, "sha256 string, n long, found_bytes long, found_digest string")
+    heads = spark.read.parquet(f"{path}/headers").select("header", "sha256").mapInPandas(_heads, T.StructType([*RECORD.fields, T.StructField("sha256", T.StringType())]))
+    counted = payloads.select("sha256", "n")
+    joined = join_counted(heads, counted.join(found.drop("n"), "sha256"), "sha256")
+    right = (F.col("found_bytes") == F.col("payload_bytes")) & (F.col("found_digest") == F.col("payload_digest"))
+    wrong = F.raise_error(F.concat(F.lit("not the payload that its record says: "), F.col("sha256"))).cast("string")
+    rows = joined.withColumn("payload_digest", F.when(right, F.col("payload_digest")).otherwise(wrong))
+    if not with_payload:
+        return rows.select(*RECORD.names)
+    spread = F.xxhash64("page_id", "url")
+    return join_salted(rows.select(*RECORD.names, "sha256"), payloads.select("sha256", "n", "deflated"), "sha256", spread).select(*RECORD.names, inflated("deflated").alias("payload"))
 
 
-def write_warc(spark: SparkSession, path: str, out: str, records_per_file: int = 10_000) -> None:
-    """The archive as gzip WARC files of whole records; revisits have no block."""
-    headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads").select("sha256", "deflated")
+#: A gzip member without content. It stands between the records' members, where Spark's text writer needs a line end.
+NOTHING = bytes.fromhex("1f8b0800000000000003") + b"\x03\x00" + bytes(8)
 
-    @F.pandas_udf(T.StringType())
-    def record(text: pd.Series, packed: pd.Series) -> pd.Series:
-        revisit = text.str.startswith("WARC/1.1\r\nWARC-Type: revisit\r\n")
-        return pd.Series([t if r else t + zlib.decompress(p).decode("utf-8", "surrogatepass") for t, p, r in zip(text, packed, revisit)], dtype=object)
 
-    whole = headers.join(payloads, "sha256").select(record("header", "deflated").alias("value"))
-    whole.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(out)
+def write_warc(spark: SparkSession, path: str, out: str, records_per_file: int = 10_000) -> None:
+    """The archive as gzip WARC files of whole records, a member each; revisits have no block."""
+    headers = spark.read.parquet(f"{path}/headers")
+    payloads = spark.read.parquet(f"{path}/payloads").select("sha256", "n", "deflated")
+
+    @F.pandas_udf(T.BinaryType())
+    def member(text: pd.Series, packed: pd.Series) -> pd.Series:
+        members = []
+        for t, p in zip(text, packed):
+            block = b"" if t.startswith("WARC/1.1\r\nWARC-Type: revisit\r\n") else zlib.decompress(p)
+            gzip = zlib.compressobj(6, wbits=31)
+            members.append(gzip.compress(t.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n") + gzip.flush())
+        return pd.Series(members, dtype=object)
+
+    whole = join_salted(headers, payloads, "sha256", F.xxhash64("header")).select(member("header", "deflated").cast("string").alias("value"))
+    whole.write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(out)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):  # names only; Spark has no option for a file's ending here
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            files.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name.split(".")[0] + ".warc.gz"))
+
+
+class Records:
+    """Records from the lines of one file, as they come: (header's fields, block)."""
+
+    def __init__(self, file: str) -> None:
+        self.file = file
+        self.head: list[bytes] = []
+        self.fields: dict[str, str] | None = None
+        self.block: list[bytes] = []
+        self.size = self.got = 0
+
+    def take(self, line: bytes) -> tuple[dict[str, str], bytes] | None:
+        if self.fields is None:
+            if line.strip() or self.head:
+                self.head.append(line)
+            if not self.head or line.strip():
+                return None
+            self.fields = parse_header(b"\n".join(self.head).replace(b"\r\n", b"\n").replace(b"\n", b"\r\n").decode("utf-8", "surrogatepass").rstrip())
+            self.head, self.size = [], int(self.fields.get("content-length", "0"))
+        else:
+            self.block.append(line)
+            self.got += len(line) + 1
+        if self.got < self.size:
+            return None
+        found = self.fields, (b"\n".join(self.block) + b"\n")[: self.size]
+        self.fields, self.block, self.size, self.got = None, [], 0, 0
+        return found
+
+    def end(self) -> None:
+        if self.fields is not None or self.head:
+            raise ValueError(f"{self.file} ends inside a record")
+
+
+READ = T.StructType([*RECORD.fields, T.StructField("record_id", T.StringType()), T.StructField("header", T.MapType(T.StringType(), T.StringType())), T.StructField("payload", T.BinaryType())])
+
+
+def _payload(fields: dict[str, str], block: bytes) -> bytes:
+    """The block, or what follows the header of an HTTP message in it."""
+    if not fields.get("content-type", "").startswith("application/http"):
+        return block
+    return block.partition(b"\r\n\r\n")[2]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files at ``path``: their header's fields, and their block as ``payload``."""
+    """The records of the gzip WARC files at ``path``, ours or others': the fields of ``RECORD`` as far as they are
+    there, ``record_id``, all fields as ``header`` (names in lower case), and ``payload``.
 
-    names = [*RECORD.names, "payload"]
+    A file is read as a stream, member after member, and a task holds one record at a time.
+    A file that ends inside a record stops the job.
+    """
+    names = READ.names
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        records, rows, held = None, [], 0
         for frame in frames:
-            for content in frame["content"]:
-                data, at, rows = zlib.decompress(content, 31), 0, []
-                while at < len(data):
-                    end = data.index(b"\r\n\r\n", at) + 4
-                    head = parse_header(data[at:end].decode("utf-8", "surrogatepass").removesuffix("\r\n"))
-                    n = int(head["Content-Length"])
-                    rows.append((*_row(head), data[end : end + n]))
-                    at = end + n + 4
-                    if len(rows) == 1000:
+            for file, line in zip(frame["file"], frame["value"]):
+                if records is None or records.file != file:
+                    if records:
+                        records.end()
+                    records = Records(file)
+                if found := records.take(line):
+                    fields, block = found
+                    rows.append((*_row(fields), fields.get("warc-record-id"), fields, _payload(fields, block)))
+                    held += len(block)
+                    if len(rows) == 1000 or held > 1 << 24:
                         yield _frame(rows, names)
-                        rows = []
-                if rows:
-                    yield _frame(rows, names)
+                        rows, held = [], 0
+        if records:
+            records.end()
+        if rows:
+            yield _frame(rows, names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(parse, T.StructType([*RECORD.fields, T.StructField("payload", T.BinaryType())]))
+    small_batches(spark)
+    # gzip files are not split, so a task sees a file's lines in order
+    lines = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", "\n").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInPandas(parse, READ)
 
 
 def op3_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
