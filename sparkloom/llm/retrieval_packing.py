@@ -47,6 +47,8 @@ WINDOW = 2048
 #: Rests in a shard.
 SHARD = 2048
 K1, B = 1.2, 0.75
+#: Neighbours that are ranked at first.
+FEW = 64
 #: Width of a sketch, rests that the cells are fitted to, and cells at most.
 WIDTH, SAMPLE, CELLS = 64, 4096, 12
 #: How much farther the next cell must lie than the own one (silhouette), or there is one cell for all.
@@ -109,9 +111,8 @@ def projection(size: int) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((size, WIDTH), np.float32)
 
 
-def sketch(ids: np.ndarray, size: int) -> np.ndarray:
+def sketch(terms: np.ndarray, tf: np.ndarray, size: int) -> np.ndarray:
     """Unit vector of the projected term weights. A BPE numbers its pieces by falling frequency, so the logarithm of the id stands for the idf, which isn't known yet."""
-    terms, tf = np.unique(ids, return_counts=True)
     weight = (np.log1p(terms) * tf / (tf + K1)).astype(np.float32)
     vector = weight @ projection(size)[terms]
     return vector / (np.linalg.norm(vector) or 1)
@@ -133,14 +134,17 @@ def tokenise(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
                 ids = np.append(use.ids(text or ""), np.uint32(END)).astype("<u4")
-                df[np.unique(ids)] += 1
+                terms, tf = np.unique(ids, return_counts=True)
+                df[terms] += 1
                 n, total = n + 1, total + len(ids)
                 spread = xxhash.xxh3_64_intdigest(f"{doc_id} {n}") >> 1
                 start = len(ids) // window * window
                 rows += [(doc_id, len(ids), at, window, zlib.crc32(ids[at : at + window].tobytes()), spread, None, None, WHOLE) for at in range(0, start, window)]
                 if start < len(ids):
                     rest = ids[start:]
-                    rows.append((doc_id, len(ids), start, len(rest), 0, spread, pack_ids(rest, use.size), sketch(rest, use.size).astype("<f2").tobytes(), REST))
+                    if start:
+                        terms, tf = np.unique(rest, return_counts=True)
+                    rows.append((doc_id, len(ids), start, len(rest), 0, spread, pack_ids(rest, use.size), sketch(terms, tf, use.size).astype("<f2").tobytes(), REST))
             yield pd.DataFrame(rows, columns=TOKENS.names)
         yield pd.DataFrame([(None, n, total, 0, 0, 0, zlib.compress(df.tobytes()), None, SUMMARY)], columns=TOKENS.names)
 
@@ -186,20 +190,21 @@ def weights(ids: np.ndarray, idf: np.ndarray, mean: float) -> tuple[np.ndarray,
     return terms, idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
 
 
-def fit_cells(sketches: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """Centres of the cells (unit vectors): of k-means with 2 to ``CELLS`` centres the one whose cells lie farthest apart."""
+def fit_cells(sketches: np.ndarray, rounds: int = 12, tries: int = 5) -> np.ndarray:
+    """Centres of the cells (unit vectors): of k-means with 2 to ``CELLS`` centres, tried from several starts, the one whose cells lie farthest apart."""
     rng = np.random.default_rng(5)
     best, apart = np.zeros((1, sketches.shape[1])), APART
-    for k in range(2, min(CELLS, len(sketches)) + 1):
+    for k in [k for k in range(2, min(CELLS, len(sketches)) + 1) for _ in range(tries)]:
         centres = sketches[rng.integers(len(sketches), size=1)]
         while len(centres) < k:  # the next centre is drawn from those far from all centres so far
             far = np.clip(1 - (sketches @ centres.T).max(axis=1), 1e-12, None) ** 2
             centres = np.vstack([centres, sketches[rng.choice(len(sketches), p=far / far.sum())]])
         for _ in range(rounds):
             nearest = np.argmax(sketches @ centres.T, axis=1)
-            centres = np.array([sketches[nearest == c].mean(axis=0) if (nearest == c).any() else centres[c] for c in range(k)])
+            sums = np.stack([np.bincount(nearest, column, k) for column in sketches.T], axis=1)
+            centres = np.where(sums.any(axis=1, keepdims=True), sums, centres)
             centres /= np.linalg.norm(centres, axis=1, keepdims=True) + 1e-12
-        two = np.sort(sketches @ centres.T, axis=1)[:, -2:]
+        two = np.partition(sketches @ centres.T, k - 2, axis=1)[:, -2:]
         if (gap := float(((two[:, 1] - two[:, 0]) / (1 - two[:, 0] + 1e-9)).mean())) > apart:
             best, apart = centres, gap
     return best
@@ -211,7 +216,8 @@ def _sketches(packed) -> np.ndarray:
 
 def cells(rests: DataFrame):
     """A column function: the cell of a sketch. Centres are fitted to a bounded sample; every row gets a cell."""
-    sample = rests.select("sketch", "spread").orderBy("spread", "sketch").limit(SAMPLE).toPandas()["sketch"]
+    one_in = max(1, rests.count() // SAMPLE)  # first by number, so that tasks don't send SAMPLE rows each
+    sample = rests.select("sketch", "spread").filter(F.pmod("spread", F.lit(one_in)) == 0).orderBy("spread", "sketch").limit(SAMPLE).toPandas()["sketch"]
     shared = rests.sparkSession.sparkContext.broadcast(fit_cells(_sketches(sample)))
 
     @F.pandas_udf(T.LongType())
@@ -222,9 +228,11 @@ def cells(rests: DataFrame):
 
 
 def plan_shards(counts: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
-    """(cell, length) -> the place of its first rest in the order of cells and falling lengths."""
-    out, at = {}, 0
+    """(cell, length) -> the place of its first rest in the order of cells and falling lengths; each cell begins a shard."""
+    out, at, last = {}, 0, None
     for cell, length in sorted(counts, key=lambda x: (x[0], -x[1])):
+        if cell != last:
+            at, last = -(-at // SHARD) * SHARD, cell
         out[cell, length] = at
         at += counts[cell, length]
     return out
@@ -256,16 +264,25 @@ class Index:
             a, b = self.ends[t], self.ends[t + 1]
             self.matrix[r, self.owner[a:b]] = self.weight[a:b]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused texts by falling score against the seed, all of whose ids are the query; ties and texts without a score by place."""
         terms = self.terms[seed]
         rows = self.row[terms]
-        score = self.matrix[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        score = self.matrix[rows[rows >= 0]].sum(axis=0)
         if len(lists := terms[rows < 0]):
-            at = np.concatenate([np.arange(self.ends[t], self.ends[t + 1]) for t in lists])
-            score += np.bincount(self.owner[at], self.weight[at], self.n)
+            first, size = self.ends[lists], self.ends[lists + 1] - self.ends[lists]
+            at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            score = score + np.bincount(self.owner[at], self.weight[at], self.n)
         found = np.flatnonzero(unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        score = -score[found]
+        if len(found) > 4 * FEW:  # most windows are full after a few
+            few = np.argpartition(score, FEW)[:FEW]
+            few = few[np.lexsort((few, score[few]))]
+            yield from found[few].tolist()
+            score[few] = np.inf
+            yield from found[np.argsort(score, kind="stable")[: len(found) - FEW]].tolist()
+        else:
+            yield from found[np.argsort(score, kind="stable")].tolist()
 
 
 def fill_windows(lengths: list[int], neighbours, window: int) -> list[list[tuple[int, int, int]]]:
@@ -285,7 +302,7 @@ def fill_windows(lengths: list[int], neighbours, window: int) -> list[list[tuple
             room -= take
             begun = (text, at + take) if at + take < lengths[text] else None
             if room:
-                for other in neighbours(text, unused).tolist():
+                for other in neighbours(text, unused):
                     take = min(room, lengths[other])
                     unused[other] = False
                     row.append((other, 0, take))

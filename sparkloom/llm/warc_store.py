@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import column, join_counted, join_salted, small_batches, staging_path, table
+from ._shared import column, join_counted, join_salted, small_batches, staged, staging_path, table
 
 SHARED = 1000
 DATE = "2024-01-31T00:00:00Z"
@@ -165,10 +165,9 @@ def inflated(packed: pd.Series) -> pd.Series:
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """The archive's records, put together and verified; ``payload`` only if asked for."""
     payloads = spark.read.parquet(f"{path}/payloads")
-    found = payloads.select("sha256", "deflated", "n").mapInPandas(_verify, "sha256 string, n long, found_bytes long, found_digest string")
+    found = staged(payloads.select("sha256", "deflated", "n").mapInPandas(_verify, "sha256 string, n long, found_bytes long, found_digest string"), "verified")
     heads = spark.read.parquet(f"{path}/headers").select("header", "sha256").mapInPandas(_heads, T.StructType([*RECORD.fields, T.StructField("sha256", T.StringType())]))
-    counted = payloads.select("sha256", "n")
-    joined = join_counted(heads, counted.join(found.drop("n"), "sha256"), "sha256")
+    joined = join_counted(heads, found, "sha256")
     right = (F.col("found_bytes") == F.col("payload_bytes")) & (F.col("found_digest") == F.col("payload_digest"))
     wrong = F.raise_error(F.concat(F.lit("not the payload that its record says: "), F.col("sha256"))).cast("string")
     rows = joined.withColumn("payload_digest", F.when(right, F.col("payload_digest")).otherwise(wrong))
