@@ -21,14 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import column, staged, table
+from ._shared import column, join_counted, staged, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: (verdict, rule); a rule is a host, then the beginning of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Public suffixes of more than one label; any other host's is its last label.
-SUFFIXES = ("co.uk", "org.uk", "com.au", "co.jp", "com.br")
+#: Second labels under which registries of countries (two letters) give out names; a suffix of two labels has one of them,
+#: or is in the parameter ``suffixes``. Any other host's suffix is its last label.
+SECOND = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "mil", "ne", "net", "nom", "or", "org")
+SUFFIXES = ()
 #: Standard deviations below the posterior mean, and the share of bad pages that blocks.
 Z, THRESHOLD = 1.645, 0.5
 WEAKEST, STRONGEST = 1.0, 1000.0
@@ -53,11 +55,15 @@ def rule_column(at_host: Column, at_path: Column, rules=RULES) -> tuple[Column,
     return (F.lit(None).cast("string"),) * 2 if rule is None else (rule, verdict)
 
 
-def domain_and_suffix(name: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+def domain_and_suffix(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and public suffix, without user name and port; an address in numbers is its own."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
     labels = F.split(name, r"\.")
     last_two = F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2))
-    of_suffix = F.when(last_two.isin(*suffixes), 2).otherwise(1)
-    tail = lambda n: F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n))
+    two = last_two.rlike(rf"^({'|'.join(SECOND)})\.[a-z][a-z]$")
+    of_suffix = F.when(two | last_two.isin(*suffixes) if suffixes else two, 2).otherwise(1)
+    number = name.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+    tail = lambda n: F.when(number, name).otherwise(F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n)))
     return tail(of_suffix + 1), tail(of_suffix)
 
 
@@ -75,14 +81,14 @@ def strength(n: int, bad: int, k: int, s: float) -> float:
     return STRONGEST if beyond <= 0 else round(min(STRONGEST, max(WEAKEST, (binomial - spread) / beyond)), 6)
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, mean, low) of every host of ``pages`` (page_id, host); ``outcomes`` is (page_id, bad 0 or 1)."""
+def reputations(pages: DataFrame, outcomes: DataFrame, suffixes=SUFFIXES) -> DataFrame:
+    """(host, n_pages, n, bad, mean, low) of every host of ``pages`` (page_id, host); ``outcomes`` is (page_id, bad 0 or 1)."""
     worst = outcomes.filter("bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    labelled = pages.filter("page_id IS NOT NULL").join(worst, "page_id").select("host", "bad")
-    seen = pages.select("host", F.lit(None).cast("int").alias("bad"))
-    counted = seen.unionAll(labelled).groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = staged(counted.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
+    labelled = pages.filter("page_id IS NOT NULL").join(worst, "page_id").select("host", "bad", F.lit(0).alias("page"))
+    seen = pages.select("host", F.lit(None).cast("int").alias("bad"), F.lit(1).alias("page"))
+    counted = seen.unionAll(labelled).groupBy("host").agg(F.sum("page").alias("n_pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
+    hosts = staged(counted.select("host", "n_pages", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
     domains = staged(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffixes = staged(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     rows = [_moments(level).first() for level in (hosts, domains, suffixes)]
@@ -97,16 +103,16 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     weight = strengths[0]
     posterior = hosts.join(domains, "domain").withColumn("mean", mean(F.col("domain_mean"), weight))
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.lit(weight) + F.col("n") + 1))
-    return staged(posterior.select("host", "n", "bad", "mean", (F.col("mean") - Z * deviation).alias("low")), "reputations")
+    return staged(posterior.select("host", "n_pages", "n", "bad", "mean", (F.col("mean") - Z * deviation).alias("low")), "reputations")
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", suffixes=SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, host_labelled, host_bad) for every row of ``pages``."""
     parsed = pages.select(column(id_col).alias("page_id"), host(column(url_col)).alias("host"), path(column(url_col)).alias("path"))
-    known = reputations(parsed.select("page_id", "host"), outcomes)
+    known = reputations(parsed.select("page_id", "host"), outcomes, suffixes)
     rule, by_rule = rule_column(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("low") > THRESHOLD, "block").otherwise("allow")
-    return parsed.join(known, "host").select(
+    return join_counted(parsed, known, "host", "n_pages").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(by_rule, by_method).alias("verdict"), F.col("n").alias("host_labelled"), F.col("bad").alias("host_bad")
     )
 
@@ -127,11 +133,13 @@ WITH p AS (
 ), h0 AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host
 ), h1 AS (
-  SELECT *, string_split(host, '.') AS l FROM h0
+  SELECT *, string_split(name, '.') AS l FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM h0)
 ), h2 AS (
-  SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'com.au', 'co.jp', 'com.br') THEN 2 ELSE 1 END AS k FROM h1
+  SELECT *, CASE WHEN regexp_matches(array_to_string(l[-2:], '.'), '^(ac|co|com|edu|go|gob|gouv|gov|mil|ne|net|nom|or|org)\.[a-z][a-z]$') THEN 2 ELSE 1 END AS k,
+    regexp_matches(name, '^[0-9]+(\.[0-9]+){3}$') AS number FROM h1
 ), h AS (
-  SELECT host, n, bad, array_to_string(CASE k WHEN 2 THEN l[-3:] ELSE l[-2:] END, '.') AS domain, array_to_string(CASE k WHEN 2 THEN l[-2:] ELSE l[-1:] END, '.') AS suffix FROM h2
+  SELECT host, n, bad, CASE WHEN number THEN name ELSE array_to_string(CASE k WHEN 2 THEN l[-3:] ELSE l[-2:] END, '.') END AS domain,
+    CASE WHEN number THEN name ELSE array_to_string(CASE k WHEN 2 THEN l[-2:] ELSE l[-1:] END, '.') END AS suffix FROM h2
 ), d AS (
   SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL
 ), s AS (

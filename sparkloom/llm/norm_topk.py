@@ -3,13 +3,15 @@
 1. Vectors become integers and are stored by falling length, many to a row.
 2. An SVD of a bounded sample (``SAMPLE`` rows) turns the axes so that the first
    ones hold most of the length. It only steers pruning; results don't depend on it.
-3. Queries are taken in blocks of ``QUERY_BLOCK`` (so what is sent to the tasks has
-   a fixed bound), each against all rows in one scan. The longest ``SEEDS`` vectors
-   give every query a first lower bound for its k-th score.
-4. A task reads its vectors by falling length. When length times length is under
-   every query's bound, the rest of its vectors are skipped. Otherwise the partial
-   sum over the first half of the turned axes, plus the Cauchy-Schwarz bound of what
-   is left, strikes out pairs; the others get their exact integer product.
+   The sample also gives every query a first lower bound for its k-th score.
+3. Queries are stored in blocks of about ``QUERY_BLOCK``, on the executors as the vectors
+   are. The vectors are dealt out over parts, and each block of queries meets each part
+   in one task, which reads the block first and then the part's rows by falling length,
+   one at a time. Nothing but the sample comes to the driver.
+4. When length times length is under every query's bound, the rest of a part's vectors
+   are skipped. Otherwise the partial sum over the first half of the turned axes, plus the
+   Cauchy-Schwarz bound of what is left, strikes out pairs; the others get their exact
+   integer product.
 
 Ties go to the smaller vec_id. Defined results: null vectors, and vectors with a
 null or non-finite component, take no part; nor do rows with a null vec_id. A shorter
@@ -29,10 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._shared import column, staged, table
+from ._shared import column, small_batches, staged, table
 
 SAMPLE = 4096
-SEEDS = 4096
 QUERY_BLOCK = 8192
 #: Vectors in a stored row, and queries that are multiplied at once.
 ROW = 1024
@@ -123,73 +124,92 @@ class Block:
             self.floor[query] = max(self.floor[query], best[-1][0])
 
 
-FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("query_row", "query_id", "score", "vec_id")])
+#: A block of queries (``longest`` null, with their first bounds) or a row of vectors.
+MEETING = T.StructType([T.StructField("block", T.LongType()), *STORED.fields, T.StructField("floor", T.BinaryType())])
+FOUND = T.StructType([T.StructField(n, T.LongType()) for n in ("block", "query_row", "query_id", "score", "vec_id")])
 
 
-def _search(shared, k: int, width: int, first_row: int):
+def _blocks(shared, k: int, width: int):
+    """One row per block of queries, with what the sample says about each k-th score."""
+
+    def block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        _, seed_ids, seeds = shared.value
+        frame = frame.sort_values("vec_id", kind="stable")
+        ids, v = frame["vec_id"].to_numpy(np.int64), _matrix(frame["v"].tolist(), width)
+        floor = np.full(len(ids), -np.inf)
+        for at in range(0, len(ids), STEP):
+            scores = products(v[at : at + STEP], seeds).astype(float)
+            scores[ids[at : at + STEP, None] == seed_ids[None, :]] = -np.inf
+            if scores.shape[1] >= k:
+                floor[at : at + STEP] = np.partition(scores, -k, axis=1)[:, -k]
+        row = (int(key[0]), None, len(ids), ids.tobytes(), v.tobytes(), floor.tobytes())
+        return pd.DataFrame([row], columns=MEETING.names)
+
+    return block
+
+
+def _search(shared, k: int, width: int):
+    """Rows come sorted by (block, part), the block's queries first, then the part's vectors by falling length."""
+
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = Block(*shared.value, k)
-        over = False
+        turn = shared.value[0]
+        block, number, over = None, 0, False
+
+        def done() -> pd.DataFrame:
+            rows = [(number, q, block.ids[q], s, i) for q, best in enumerate(block.best) for s, i in best] if block else []
+            return pd.DataFrame(np.array(rows, np.int64).reshape(-1, 5), columns=FOUND.names)
+
         for frame in frames:
-            for longest, n, ids, v in zip(frame["longest"], frame["n"], frame["ids"], frame["v"]):
+            for at, longest, n, ids, v, floor in zip(*(frame[c] for c in MEETING.names)):
+                ids, v = np.frombuffer(ids, np.int64), np.frombuffer(v).reshape(n, width)
+                if floor is not None:
+                    yield done()
+                    block, number, over = Block(ids, v, turn, np.frombuffer(floor), k), at, False
+                    continue
+                if block is None or at != number:  # a block without queries
+                    continue
                 over = over or not block.reachable(longest)  # what follows is no longer
                 if not over:
-                    block.meet(np.frombuffer(ids, np.int64), np.frombuffer(v).reshape(n, width))
-        rows = [(first_row + q, block.ids[q], s, i) for q, best in enumerate(block.best) for s, i in best]
-        yield pd.DataFrame(np.array(rows, np.int64).reshape(-1, 4), columns=FOUND.names)
+                    block.meet(ids, v)
+        yield done()
 
     return search
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` for each row of ``queries``."""
-    spark = vectors.sparkSession
+    spark = small_batches(vectors.sparkSession)
     usable = staged(integers(vectors, id_col, vector_col), "vectors")
-    asked = integers(queries, id_col, vector_col)
-    width = int(usable.agg(F.max(F.size("v"))).first()[0] or 0)
-    width = max(width, int(asked.agg(F.max(F.size("v"))).first()[0] or 0), 2)
-
-    sample = usable.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").toPandas()["v"].tolist()
-    turn = np.linalg.svd(_matrix(sample, width), full_matrices=True)[2].T if len(sample) <= width else np.linalg.svd(_matrix(sample, width), full_matrices=False)[2].T
-    seeds = usable.orderBy(F.desc("length"), "vec_id").limit(SEEDS).toPandas()
-    seed_ids, seed_v = seeds["vec_id"].to_numpy(np.int64), _matrix(seeds["v"].tolist(), width)
+    asked = staged(integers(queries, id_col, vector_col), "queries")
+    width, n = usable.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    asked_width, n_asked = asked.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    width = max(width or 0, asked_width or 0, 2)
+
+    spread = F.xxhash64("vec_id", "v")
+    one_in = max(1, n // SAMPLE)  # first by number, so that tasks don't send SAMPLE rows each
+    sample = usable.filter(F.pmod(spread, F.lit(one_in)) == 0).orderBy(spread).limit(SAMPLE).select("vec_id", "v").toPandas()
+    seeds = _matrix(sample["v"].tolist(), width)
+    turn = np.linalg.svd(seeds, full_matrices=len(seeds) <= width)[2].T
+    shared = spark.sparkContext.broadcast((turn, sample["vec_id"].to_numpy(np.int64), seeds))
 
     # equal lengths are dealt out by id, so that many equal vectors don't meet in one partition
     by_length = usable.repartitionByRange(F.desc("length"), F.xxhash64("vec_id")).sortWithinPartitions(F.desc("length"), "vec_id")
-    stored = staged(by_length.mapInPandas(_store(width), STORED), "bylength").sortWithinPartitions(F.desc("longest"))
-
-    found = None
-    first_row = 0
-    for ids, v in _blocks(asked, width):
-        floor = np.full(len(ids), -np.inf)
-        for at in range(0, len(ids), STEP):
-            scores = products(v[at : at + STEP], seed_v).astype(float)
-            scores[ids[at : at + STEP, None] == seed_ids[None, :]] = -np.inf
-            if scores.shape[1] >= k:
-                floor[at : at + STEP] = np.partition(scores, -k, axis=1)[:, -k]
-        shared = spark.sparkContext.broadcast((ids, v, turn, floor))
-        part = stored.mapInPandas(_search(shared, k, width, first_row), FOUND)
-        found = part if found is None else found.unionAll(part)
-        first_row += len(ids)
-    if found is None:
-        found = spark.createDataFrame([], FOUND)
-    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    stored = staged(by_length.mapInPandas(_store(width), STORED), "bylength")
+    n_blocks = -(-n_asked // QUERY_BLOCK) or 1
+    blocks = staged(asked.withColumn("block", F.pmod(spread, F.lit(n_blocks))).groupBy("block").applyInPandas(_blocks(shared, k, width), MEETING), "queryblocks")
+
+    # few blocks meet many parts, many blocks meet few: enough tasks either way
+    n_parts = max(1, min(-(-n // ROW), -(-2 * spark.sparkContext.defaultParallelism // n_blocks)))
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    part = F.pmod(F.xxhash64("ids"), F.lit(n_parts))
+    rows = stored.withColumn("floor", F.lit(None).cast("binary")).withColumn("part", part).select("part", each(n_blocks).alias("block"), *MEETING.names[1:])
+    meetings = blocks.select(each(n_parts).alias("part"), *MEETING.names).unionByName(rows)
+    placed = meetings.repartition(n_blocks * n_parts, "block", "part").sortWithinPartitions("block", "part", F.desc_nulls_first("longest"))
+    found = placed.select(*MEETING.names).mapInPandas(_search(shared, k, width), FOUND)
+    best = Window.partitionBy("block", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _blocks(asked: DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids: list[int] = []
-    vectors: list = []
-    for row in asked.select("vec_id", "v").toLocalIterator():
-        ids.append(row["vec_id"])
-        vectors.append(row["v"])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids, np.int64), _matrix(vectors, width)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids, np.int64), _matrix(vectors, width)
-
-
 def op8_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)

@@ -6,14 +6,15 @@ value is the number of distinct words that hold it. Each is scaled by the log ra
 of its frequencies in toxic and other training texts, and a logistic regression with
 an L2 penalty is fitted to the scaled features.
 
-The fit takes a bounded sample of labelled rows: ``max_rows`` of them, those with the
-smallest hashes of their ids, of texts up to ``max_chars`` characters. Scoring is a
-sum over a text's distinct words, takes every text whole and needs no shuffle; the
-model is one array of ``BUCKETS`` numbers, whatever the corpus.
+The fit takes a bounded sample of labelled documents, ``max_rows`` of those that are
+there, with the smallest hashes of their ids and whatever their lengths; a text comes to
+the driver as its distinct words. Scoring is a sum over a text's distinct words, takes
+every text whole and needs no shuffle; the model is one array of ``BUCKETS`` numbers,
+whatever the corpus.
 
 Defined results: a null text counts as empty; an empty text gets the score of the
 intercept. Labels that are null are ignored; of several labels for an id the largest
-counts. If the sample lacks one of the two classes every score is that class's share,
+counts, of several texts the smallest. If the sample lacks one of the two classes every score is that class's share,
 0 or 1 (0.5 without any label). Repeated rows are scored each; a null doc_id is
 held out (its remainder isn't known) and scored. An empty table gives an empty result.
 """
@@ -34,7 +35,6 @@ from .piece_encode import Segments
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 MAX_ROWS = 4000
-MAX_CHARS = 20_000
 ALPHA = 1.0
 PENALTY = 1e-3
 FOLDS = 5
@@ -178,13 +178,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
-    """Fits on labelled rows outside the held-out fold; the sample is chosen from the labels alone."""
+@F.pandas_udf(T.StringType())
+def _distinct_words(text: pd.Series) -> pd.Series:
+    return pd.Series([" ".join(sorted(words_of(t))) for t in text], dtype=object)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Fits on at most ``max_rows`` labelled documents outside the held-out fold; the sample is chosen by ids alone, among those that are there."""
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # at most max_rows ids
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_rows).toPandas()
-    return fit(rows["text"].tolist(), rows["toxic"].tolist())
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    spread = F.xxhash64("doc_id")
+    one_in = max(1, there.count() // (2 * max_rows))  # first by number, so that tasks don't send max_rows ids each
+    chosen = there.filter(F.pmod(spread, F.lit(one_in)) == 0).orderBy(spread, "doc_id").limit(max_rows)
+    # at most max_rows ids, and one text for each
+    words = _distinct_words(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = rows.select("doc_id", "toxic", words.alias("words")).toPandas().sort_values("doc_id", kind="stable")
+    return fit(sample["words"].tolist(), sample["toxic"].tolist())
 
 
 def scorer(spark: SparkSession, model: Model):

@@ -6,7 +6,7 @@ from sparkloom.llm import host_reputation as m
 
 URLS = [
     None, "", "no scheme/x", "http://", "HTTP://WWW.Example.ORG/es/a?b#c", "https://example.org/en/12", "https://x.example.org/en/2", "https://notexample.com/fr/", "https://a.com/de/x",
-    "https://a.com/en", "://host", "http://a.org", "http://a.org/", "http://x://y.com/de/", "http://É.com/fr/?q=://z", "http://u@h.co.uk:80/p\nq?x", "http://org/x", "http://myorg/x", "ftp://...//",
+    "https://a.com/en", "://host", "http://a.org", "http://a.org/", "http://x://y.com/de/", "http://É.com/fr/?q=://z", "http://u@h.co.uk:80/p\nq?x", "http://org/x", "http://myorg/x", "ftp://...//", "http://10.0.0.12:80/x", "http://me@w.gov.au/",
 ]
 
 
@@ -42,12 +42,15 @@ def test_rules(spark):
 
 
 def test_domains(spark):
-    names = ["a.b.example.org", "example.org", "org", "", "x.y.co.uk", "co.uk", "h.co.uk"]
+    names = ["a.b.example.org", "example.org", "org", "", "x.y.co.uk", "co.uk", "h.co.uk", "u:p@a.b.ac.nz:80", "example.com:8080", "10.0.0.12:80", "a.com.example", "x.github.io"]
     df = spark.createDataFrame([(n,) for n in names], "h string")
     domain, suffix = m.domain_and_suffix(df["h"])
     assert [tuple(r) for r in df.select(domain, suffix).collect()] == [
         ("example.org", "org"), ("example.org", "org"), ("org", "org"), ("", ""), ("y.co.uk", "co.uk"), ("co.uk", "co.uk"), ("h.co.uk", "co.uk"),
+        ("b.ac.nz", "ac.nz"), ("example.com", "com"), ("10.0.0.12", "10.0.0.12"), ("com.example", "example"), ("github.io", "io"),
     ]
+    domain, suffix = m.domain_and_suffix(df["h"], ("github.io",))
+    assert tuple(df.filter("h = 'x.github.io'").select(domain, suffix).first()) == ("x.github.io", "github.io")
 
 
 def test_strength_by_moments():

@@ -31,7 +31,7 @@ def frame(spark, rows):
 def test_same_as_brute_force(spark, monkeypatch, block, row):
     monkeypatch.setattr(m, "QUERY_BLOCK", block)
     monkeypatch.setattr(m, "ROW", row)
-    monkeypatch.setattr(m, "SEEDS", 20)
+    monkeypatch.setattr(m, "SAMPLE", 20)
     df = frame(spark, vectors())
     got = m.top_k(df, df.filter("vec_id % 50 = 0"), 5)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute(vectors(), 5)

@@ -57,6 +57,51 @@ def test_score_is_the_plain_sum_over_ngrams():
     assert all(x[g] == y[g] for g in ("<he", "her", "ero", "ron"))
 
 
+def plain_fit(texts, toxic, rounds=4000, rate=2.0):
+    """The same model by dense matrices and plain gradient descent: weights by n-gram, and the bias."""
+    grams = []
+    for text in texts:
+        count = {}
+        for w in set(text.lower().split()):
+            marked = f"<{w}>"
+            for g in {marked[i : i + n] for n in m.ORDERS for i in range(len(marked) - n + 1)}:
+                count[g] = count.get(g, 0) + sum(marked[i : i + len(g)] == g for i in range(len(marked) - len(g) + 1))
+        grams.append(count)
+    names = sorted({g for c in grams for g in c})
+    x = np.array([[c.get(g, 0) for g in names] for c in grams], float)
+    y = np.array(toxic, float)
+    p, q = 1 + (x[y == 1] > 0).sum(0), 1 + (x[y == 0] > 0).sum(0)
+    ratio = np.log(p / (2 + y.sum())) - np.log(q / (2 + (1 - y).sum()))
+    x, w, bias = x * ratio, np.zeros(len(names)), np.log(y.mean() / (1 - y.mean()))
+    rate /= (x**2).sum(axis=1).mean()
+    for _ in range(rounds):
+        wrong = (1 / (1 + np.exp(-(x @ w + bias))) - y) / len(y)
+        w, bias = w - rate * (x.T @ wrong + m.PENALTY * w), bias - rate * wrong.sum()
+    return dict(zip(names, w * ratio)), bias, x @ w + bias
+
+
+def test_fit_is_the_plain_regression():
+    rows = made(48, seed=9)
+    texts, toxic = [" ".join(t.split()[:14]) for _, t, _ in rows], [y for _, _, y in rows]
+    weights, bias, scores = plain_fit(texts, toxic)
+    model = m.fit(texts, toxic, rounds=400)
+    got = np.array([model.of_words(sorted(m.words_of(t))).sum() + model.bias for t in texts])
+    assert np.abs(1 / (1 + np.exp(-got)) - 1 / (1 + np.exp(-scores))).max() < 0.02
+    words = ["vilegrub", "snarkgrubby", "heron"]
+    plain = [sum(weights.get(f"<{w}>"[i : i + n], 0) for n in m.ORDERS for i in range(len(w) + 3 - n)) for w in words]
+    assert min(model.of_words(words)[0], plain[0]) > 1 and np.argsort(model.of_words(words)).tolist() == np.argsort(plain).tolist()
+
+
+def test_sample_is_of_documents_that_are_there(spark):
+    """Labels of absent documents use nothing up, and long texts count."""
+    rows = made(200)
+    docs = spark.createDataFrame([(i, t + " filler" * (9000 if y else 0)) for i, t, y in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, 0) for i in range(10_000, 12_000)], "doc_id long, toxic int")
+    model = m.train(docs, labels, max_rows=150)
+    alike = m.fit([t + (" filler" if y else "") for i, t, y in rows if zlib.crc32(str(i).encode()) % 5], [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5])
+    assert model.of_words(["vilegrub"])[0] > 1 and alike.of_words(["vilegrub"])[0] > 1
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, "again"), (None, "x"), (3, "word " * 50_000)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
