@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import importlib.util
 import logging
+import pathlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from importlib.metadata import entry_points
@@ -81,6 +83,25 @@ class Registry:
                 found.append(point.name)
         return found
 
+    def discover_folder(self, folder: str, enabled: Iterable[str] = (), config: dict[str, dict] | None = None) -> list[str]:
+        """Registers plugins of Python files in a local folder of the driver: each has a function ``plugin`` that gives one."""
+        names = set(enabled)
+        found = []
+        for path in sorted(pathlib.Path(folder).glob("*.py")):
+            if path.name.startswith("_") or names and path.stem not in names:
+                continue
+            try:
+                spec = importlib.util.spec_from_file_location(f"plugin_{path.stem}", path)
+                module = importlib.util.module_from_spec(spec)
+                spec.loader.exec_module(module)
+                plugin = module.plugin()
+            except Exception as wrong:  # noqa: BLE001
+                self.failed[path.stem] = str(wrong)
+                continue
+            if self.register(plugin, (config or {}).get(path.stem)):
+                found.append(path.stem)
+        return found
+
     def rerank(self, query: str, hits: DataFrame) -> DataFrame:
         """``hits`` through every reranker in turn."""
         for plugin in self.of("rerank"):

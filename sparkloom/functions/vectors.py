@@ -21,8 +21,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / ((norm(a) + TINY) * (norm(b) + TINY))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` worked out once a row however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / (norm(a) + TINY))
+    return let(norm(a) + TINY, lambda length: F.transform(a, lambda x: x.cast("double") / length))
 
 
 def truncated(a: Column, dim: int) -> Column:

@@ -63,8 +63,10 @@ def scores(postings: DataFrame, wanted: DataFrame, stats: tuple[int, float] | No
     asked = wanted.select("term").distinct()
     few = postings.join(asked, "term", "left_semi")
     df = few.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if term_df is None else term_df.join(asked, "term", "left_semi")
-    hits = few.join(wanted.join(df, "term"), "term")
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(score_expression(F.lit(n), F.lit(avgdl)) * F.col("qtf")), DIGITS).alias("score"))
+    # a posting's weight is the same for every query, so it is worked out before queries multiply it
+    weighed = few.join(df, "term").select("term", "chunk_id", score_expression(F.lit(n), F.lit(avgdl)).alias("weight"))
+    hits = weighed.join(wanted, "term")
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), DIGITS).alias("score"))
 
 
 def collection(postings: DataFrame) -> tuple[int, float]:
@@ -98,8 +100,8 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def topk(postings: DataFrame, queries: DataFrame, k: int = 10, stats: tuple[int, float] | None = None) -> DataFrame:
-    return ranked(scores(postings, query_terms(queries), stats), k)
+def topk(postings: DataFrame, queries: DataFrame, k: int = 10, stats: tuple[int, float] | None = None, term_df: DataFrame | None = None) -> DataFrame:
+    return ranked(scores(postings, query_terms(queries), stats, term_df), k)
 
 
 def one_query(spark: SparkSession, query: str) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions import vectors as vx
 from ..operators import analytics, answers, bm25, chunker, collections, dense, embedder, evaluation, fusion, results, snippets
 from ..sources import connectors, exports, parsers
 from ..streaming import changes as stream
-from . import changes
+from . import changes, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,12 +111,19 @@ def bm25_sql(asked: str, k: int) -> str:
 ONE = f"(SELECT 0::BIGINT AS query_id, '{QUERY}' AS query)"
 
 
+def index(spark: SparkSession, d: str) -> stored.Index:
+    return stored.of(spark, f"{d}/documents.parquet", "doc_id")
+
+
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.build_postings(table(spark, d, "documents"), "doc_id")
+    return index(spark, d).postings(spark)
 
 
-def keyword(spark: SparkSession, d: str, asked: DataFrame, k: int) -> DataFrame:
-    return bm25.topk(postings(spark, d), asked, k, bm25.text_stats(table(spark, d, "documents")))
+def keyword(spark: SparkSession, d: str, asked: str | DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of the stored index for one query, or for each of a relation (query_id, query)."""
+    known = index(spark, d)
+    search = bm25.topk_query if isinstance(asked, str) else bm25.topk
+    return search(known.postings(spark), asked, k, known.stats, known.term_stats(spark))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +151,7 @@ def dense_sql(k: int, where: str = "true", vector: str = "embedding") -> str:
 
 @query("ret1_bm25_topk", f"WITH {bm25_sql(ONE, 20)} SELECT * FROM keyword")
 def ret1(spark, d):
-    return keyword(spark, d, bm25.one_query(spark, QUERY), 20)
+    return keyword(spark, d, QUERY, 20)
 
 
 @query("ret1_bm25_batch", "WITH " + bm25_sql("(SELECT item_id AS query_id, text AS query FROM benchmark)", 10) + " SELECT * FROM keyword")
@@ -211,6 +218,11 @@ def ret12(spark, d):
     return dense.topk(vectors(spark, d), asked_vector(spark, d), 20, tombstones=vectors(spark, d).filter("label = 0").select("chunk_id"))
 
 
+@query("ret7_dense_distance", f"WITH {dense_sql(20)} SELECT chunk_id, round(1 - score, 4) AS distance FROM dense")
+def ret7(spark, d):
+    return dense.nearest(vectors(spark, d), asked_vector(spark, d), 20)
+
+
 @query("ret10_ivf_topk", f"WITH {dense_sql(20)} SELECT chunk_id, score FROM dense")
 def ret10(spark, d):
     celled, model = dense.build_cells(vectors(spark, d))
@@ -243,7 +255,7 @@ def qry1(spark, d):
 
 
 def fused(spark, d, depth: int = 100) -> DataFrame:
-    return fusion.weighted_rrf(keyword(spark, d, bm25.one_query(spark, QUERY), depth), dense.topk(vectors(spark, d), asked_vector(spark, d), depth), 0.4)
+    return fusion.weighted_rrf(keyword(spark, d, QUERY, depth), dense.topk(vectors(spark, d), asked_vector(spark, d), depth), 0.4)
 
 
 FUSED = f"""{bm25_sql(ONE, 100)}, {dense_sql(100)}, parts AS (
@@ -273,7 +285,7 @@ def fus1(spark, d):
 )
 def fus2(spark, d):
     third = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(100)
-    return fusion.rrf([keyword(spark, d, bm25.one_query(spark, QUERY), 100), dense.topk(vectors(spark, d), asked_vector(spark, d), 100), third], [1.0, 0.5, 0.25])
+    return fusion.rrf([keyword(spark, d, QUERY, 100), dense.topk(vectors(spark, d), asked_vector(spark, d), 100), third], [1.0, 0.5, 0.25])
 
 
 BOOSTED = FUSED + f""", {DOCS}, boosted0 AS (
@@ -361,7 +373,7 @@ for _sort, _order in (("relevance", "score DESC"), ("date", "modified_time DESC"
     )
     def srt1(spark, d, sort=_sort):
         docs = documents(spark, d)
-        hits = keyword(spark, d, bm25.one_query(spark, QUERY), 30)
+        hits = keyword(spark, d, QUERY, 30)
         joined = hits.join(docs, hits["chunk_id"] == docs["id"])
         from pyspark.sql.window import Window
 
@@ -387,7 +399,7 @@ HITS = f"{bm25_sql(ONE, 30)}, {DOCS}, hits AS (SELECT id AS doc_id, path, filena
 
 
 def hits(spark, d) -> DataFrame:
-    found = keyword(spark, d, bm25.one_query(spark, QUERY), 30)
+    found = keyword(spark, d, QUERY, 30)
     rows = results.enrich(found, table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "text"), documents(spark, d).drop("text"))
     return results.api_row(rows.withColumn("other_chunk_count", F.lit(0)))
 
@@ -605,11 +617,11 @@ def mth1(spark, d):
 @query(
     "emb5_hash_embedding",
     """WITH b AS (SELECT doc_id, list_transform(range(32), lambda j: (('0x' || sha256(text)[2 * j + 1:2 * j + 2])::INTEGER - 128) / 128.0::DOUBLE) AS v FROM documents)
-SELECT doc_id, round((v[1] / (sqrt(list_dot_product(v, v)) + 1e-8))::FLOAT::DOUBLE, 6) AS x0, round((v[32] / (sqrt(list_dot_product(v, v)) + 1e-8))::FLOAT::DOUBLE, 6) AS x31 FROM b""",
+SELECT doc_id, unnest(range(32))::INTEGER AS place, unnest(list_transform(v, lambda x: round((x / (sqrt(list_dot_product(v, v)) + 1e-8))::FLOAT::DOUBLE, 6))) AS x FROM b""",
 )
 def emb5(spark, d):
     v = table(spark, d, "documents").select("doc_id", embedder.hash_embedding(F.col("text"), 32).alias("v"))
-    return v.select("doc_id", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("x0"), F.round(F.get("v", F.lit(31)).cast("double"), 6).alias("x31"))
+    return v.select("doc_id", F.posexplode("v").alias("place", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 # ------------------------------------------------------------- text
@@ -794,7 +806,7 @@ def change_events(spark, d) -> DataFrame:
 @query(
     "str3_debounce",
     """WITH e AS (SELECT '/home/' || user_id || '.txt' AS path, CASE event_type WHEN 'signup' THEN 'deleted' WHEN 'view' THEN 'created' ELSE 'modified' END AS event_type, ts, event_id FROM events),
-g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS opens FROM e), b AS (SELECT *, sum(opens) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS opens FROM e), b AS (SELECT *, sum(opens) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g),
 w AS (SELECT *, min(ts) OVER (PARTITION BY burst) AS s FROM b)
 SELECT epoch_us(s) AS start_us, path, arg_max(event_type, row(ts, event_id)) AS event_type FROM w GROUP BY s, path""",
 )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Signs for file types.
@@ -60,3 +62,23 @@ def chat_block(rows: DataFrame) -> DataFrame:
     share = F.format_string("%.1f", F.round(F.col("score") * 100, 1))
     text = F.concat(sign(F.col("file_type")), F.lit(" *"), F.col("filename"), F.lit("*\n"), snippet, F.lit("\n_Score: "), share, F.lit("% · `"), F.col("path"), F.lit("`_"))
     return rows.select("doc_id", text.alias("block"))
+
+
+def write_vectors(embeddings: DataFrame, path: str) -> None:
+    """All vectors of an index with their ids: ``vector`` is the components as little-endian 16-bit floats."""
+
+    @F.pandas_udf("binary")
+    def packed(vectors: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else np.asarray(v, "<f2").tobytes() for v in vectors], dtype=object)
+
+    embeddings.select("chunk_id", packed("embedding").alias("vector")).write.parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk_id, embedding) of such a dump."""
+
+    @F.pandas_udf("array<float>")
+    def unpacked(vectors: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else np.frombuffer(v, "<f2").astype("<f4") for v in vectors], dtype=object)
+
+    return spark.read.parquet(path).select("chunk_id", unpacked("vector").alias("embedding"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..schemas import EVENTS
 from ..sources.discovery import Discovery, wanted_path
@@ -30,14 +32,34 @@ def watched(events: DataFrame, rules: Discovery = Discovery()) -> DataFrame:
 def debounced(events: DataFrame, gap: str = "2 seconds", root_col: str | None = None) -> DataFrame:
     """(root, start, end, path, event_type): the last event of each path in a burst; a burst ends after a quiet ``gap``.
 
-    A burst is that of one watched root, as any event there puts the flush off. Roots are
-    independent, so they are the grouping key; a burst's paths are bounded by what changed
-    in it. In a stream the watermark says when a burst is over.
+    A burst is that of one watched root, as any event there puts the flush off. Over a table,
+    events are first summed up in cells as wide as the gap, all of whose events are in one
+    burst; borders are found between cells, and each path's last event by a plain aggregate,
+    so that no row holds a burst. In a stream a burst is a session, and the watermark says
+    when it is over; its state is bounded by what changed in it.
     """
     root = F.col(root_col) if root_col else F.regexp_extract("path", "^(/?[^/]*)", 1)
     if "seq" not in events.columns:
         events = events.withColumn("seq", F.lit(0))
-    bursts = events.withColumn("root", root).groupBy("root", F.session_window("ts", gap).alias("w")).agg(F.collect_list(F.struct("path", "ts", "seq", "event_type")).alias("all"))
+    events = events.withColumn("root", root)
+    if events.isStreaming:
+        return _sessions(events, gap)
+    events = events.filter(F.col("ts").isNotNull()).withColumn("cell", F.window("ts", gap)["start"])
+    cells = events.groupBy("root", "cell").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    order = Window.partitionBy("root").orderBy("cell")
+    quiet = F.col("first") > F.lag("last").over(order) + F.expr(f"INTERVAL '{gap}'")
+    opens = F.when(F.coalesce(quiet, F.lit(True)), F.col("first"))
+    bursts = cells.withColumn("start", F.last(opens, ignorenulls=True).over(order))
+    ends = bursts.groupBy("root", "start").agg((F.max("last") + F.expr(f"INTERVAL '{gap}'")).alias("end"))
+    placed = events.join(bursts.select(F.col("root").alias("r"), F.col("cell").alias("c"), "start"), F.col("root").eqNullSafe(F.col("r")) & (F.col("cell") == F.col("c")))
+    last = F.max_by("event_type", F.struct("ts", "seq", "event_type")).alias("event_type")
+    found = placed.groupBy("root", "start", "path").agg(last)
+    ends = ends.select(F.col("root").alias("r"), F.col("start").alias("s"), "end")
+    return found.join(ends, F.col("root").eqNullSafe(F.col("r")) & (F.col("start") == F.col("s"))).select("root", "start", "end", "path", "event_type")
+
+
+def _sessions(events: DataFrame, gap: str) -> DataFrame:
+    bursts = events.groupBy("root", F.session_window("ts", gap).alias("w")).agg(F.collect_list(F.struct("path", "ts", "seq", "event_type")).alias("all"))
     # of a burst's events, sorted, the last per path is the one that the next one's path differs from
     ordered = bursts.select("root", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.array_sort("all").alias("ordered"))
     last = F.filter("ordered", lambda e, i: F.coalesce(F.get("ordered", i + 1)["path"] != e["path"], F.lit(True)))
@@ -49,24 +71,40 @@ def tumbling_last(events: DataFrame, width: str = "2 seconds") -> DataFrame:
     return events.groupBy(F.window("ts", width).alias("w"), "path").agg(F.max_by("event_type", "ts").alias("event_type")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "path", "event_type")
 
 
-def event_stream(spark: SparkSession, directory: str, delay: str = "10 seconds") -> DataFrame:
-    """Events from JSON files that appear in a folder."""
-    return spark.readStream.schema(EVENTS).json(directory).withWatermark("ts", delay)
+def event_stream(spark: SparkSession, directory: str, delay: str = "10 seconds", most_files: int | None = None) -> DataFrame:
+    """Events from JSON files that appear in a folder, ``most_files`` of them a batch at most."""
+    reader = spark.readStream.schema(EVENTS)
+    if most_files is not None:
+        reader = reader.option("maxFilesPerTrigger", most_files)
+    return reader.json(directory).withWatermark("ts", delay)
 
 
-def apply_stream(events: DataFrame, engine, read: Callable[[DataFrame], DataFrame], checkpoint: str, now: Callable[[], float], gap: str = "2 seconds", root_col: str | None = None) -> StreamingQuery:
-    """Debounced events applied to an engine: deleted files go, created and modified ones are read by ``read`` (path -> files) and indexed."""
-    return debounced(events, gap, root_col).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: apply_batch(df, engine, read, now())).start()
+def apply_stream(
+    events: DataFrame, engine, read: Callable[[DataFrame], DataFrame], checkpoint: str, now: Callable[[], float], gap: str = "2 seconds", root_col: str | None = None,
+    throttle: str = "0 seconds", pause: Callable[[], bool] | None = None,
+) -> StreamingQuery:
+    """Debounced events applied to an engine: deleted files go, created and modified ones are read by ``read`` (path -> files) and indexed.
+
+    Batches begin ``throttle`` apart at least; ``pause`` is as for ``apply_batch``.
+    """
+    stream = debounced(events, gap, root_col).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(processingTime=throttle)
+    return stream.foreachBatch(lambda df, _: apply_batch(df, engine, read, now(), pause)).start()
 
 
-def apply_batch(batch: DataFrame, engine, read: Callable[[DataFrame], DataFrame], now: float) -> None:
-    """One batch; a path's latest burst counts. Doing it twice changes nothing, so a batch may be repeated after a failure."""
+def apply_batch(batch: DataFrame, engine, read: Callable[[DataFrame], DataFrame], now: float, pause: Callable[[], bool] | None = None, wait: float = 0.5) -> None:
+    """One batch; a path's latest burst counts. Doing it twice changes nothing, so a batch may be repeated after a failure.
+
+    Deletions are applied at once. While ``pause()`` says so (when memory is short, say)
+    indexing waits, and with it the stream: the batch isn't done, so nothing of it is lost.
+    """
     last = batch.groupBy("path").agg(F.max_by("event_type", "start").alias("event_type")).persist()
     try:
         gone, new = last.filter(F.col("event_type") == DELETED), last.filter(F.col("event_type") != DELETED)
         if engine.table("documents") is not None and not gone.isEmpty():
             engine.remove(gone)
         if not new.isEmpty():
+            while pause is not None and pause():
+                time.sleep(wait)
             engine.index(read(new.select("path")), now)
     finally:
         last.unpersist()
