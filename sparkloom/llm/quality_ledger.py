@@ -9,7 +9,7 @@ the ledger by bitwise operations only.
 Words are maximal runs of anything but the six ASCII white-space characters.
 
 Defined results: a null text has no words, symbols or lines; an empty text is
-the same. A null doc_id is kept as it is. Repeated rows each get their own
+the same; a very long one is measured whole. A null doc_id is kept as it is. Repeated rows each get their own
 ledger row. An empty table gives an empty ledger. Extra columns are left out of
 the ledger; ``filter_documents`` keeps them all, whatever their names.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import column, fresh, small_batches, table
+from ._shared import column, fresh, small_batches, staged, table
 
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -130,24 +130,20 @@ def apply_policy(rows: DataFrame, version: str = "v1") -> DataFrame:
 def ablation(rows: DataFrame, version: str = "v1") -> DataFrame:
     """Per rule of the policy: documents that fail it, that fail it alone, and that the policy would keep without it.
 
-    One pass over the ledger: every figure is a count over a bitwise test, so a
-    task sends one row however many documents it saw.
+    One pass over the ledger: documents are counted by their failure bits under the policy's
+    mask, of which there are no more than two to the number of its rules; all figures are
+    bitwise sums over those counts.
     """
     policy = POLICIES[version]
-    hit = F.col("failed").bitwiseAND(F.lit(policy.mask).cast("long"))
-    counts = [F.count(F.lit(1)).alias("n_docs"), F.count_if(hit == 0).alias("n_kept")]
-    for name in policy.rules:
-        counts.append(F.count_if(hit.bitwiseAND(F.lit(BIT[name]).cast("long")) != 0).alias(f"fail_{name}"))
-        counts.append(F.count_if(hit == F.lit(BIT[name]).cast("long")).alias(f"alone_{name}"))
-    one = rows.agg(*counts)
-    parts = [
-        F.struct(
-            F.lit(name).alias("rule"), F.col(f"fail_{name}").alias("n_failed"), F.col(f"alone_{name}").alias("n_alone"),
-            (F.col("n_kept") + F.col(f"alone_{name}")).alias("n_kept_without"), F.col("n_docs"), F.col("n_kept"),
-        )
-        for name in policy.rules
-    ]
-    return one.select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+    hit = F.col("failed").bitwiseAND(F.lit(policy.mask).cast("long")).alias("hit")
+    patterns = rows.groupBy(hit).agg(F.count(F.lit(1)).alias("n"))
+    per_rule = patterns.select("hit", "n", F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(BIT[name]).cast("long").alias("bit")) for name in policy.rules))).alias("r")).select("hit", "n", "r.*")
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
+    left = F.col("hit").bitwiseAND(F.bitwise_not("bit"))
+    return per_rule.groupBy("rule").agg(
+        total(F.col("hit").bitwiseAND(F.col("bit")) != 0).alias("n_failed"), total(F.col("hit") == F.col("bit")).alias("n_alone"),
+        total(left == 0).alias("n_kept_without"), F.sum("n").alias("n_docs"), total(F.col("hit") == 0).alias("n_kept"),
+    )
 
 
 def filter_documents(docs: DataFrame, version: str = "v1", text_col: str = "text") -> DataFrame:
@@ -158,7 +154,8 @@ def filter_documents(docs: DataFrame, version: str = "v1", text_col: str = "text
 
 
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(table(spark, sf_dir, "documents")), "v1")
+    # the texts are read here and never again: policies work on what is stored
+    rows = apply_policy(staged(ledger(table(spark, sf_dir, "documents")), "ledger"), "v1")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes(POLICIES["base"])).alias("base_failed"), "kept", "n_lines", "failed",

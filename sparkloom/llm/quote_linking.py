@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import column, shared_dir, staged, table
+from ._shared import column, join_counted, shared_dir, staged, table
 
 MARK = r"^(?:[ \t]*>)+"
 QUOTED = r"(?m)^[ \t]*>"
@@ -136,11 +136,13 @@ def link(passages: DataFrame) -> DataFrame:
     quotes = staged(passages.filter("level > 0").distinct(), "quotes")
     owned = passages.filter("level = 0").select("conv_id", "turn", "hash")
     within = staged(_last_earlier(quotes, owned), "within")
-    missing = within.filter("source_turn IS NULL").select("hash").distinct()
+    missing = staged(within.filter("source_turn IS NULL").groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "missing")
     # a task adds up its own before anything is moved, so a common passage is one row a task
-    first = owned.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first")).join(missing, "hash", "left_semi")
-    first = staged(first.select("hash", F.col("first.conv_id").alias("first_conv"), F.col("first.turn").alias("first_turn")), "first")
-    found = within.join(first, "hash", "left")
+    first = owned.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    first = staged(missing.join(first, "hash", "left").select("hash", "n", F.col("first.conv_id").alias("first_conv"), F.col("first.turn").alias("first_turn")), "first")
+    elsewhere = join_counted(within.filter("source_turn IS NULL"), first, "hash").drop("n")
+    nothing = F.lit(None).cast("long")
+    found = within.filter("source_turn IS NOT NULL").select("*", nothing.alias("first_conv"), nothing.alias("first_turn")).unionByName(elsewhere)
     inside = F.col("source_turn").isNotNull()
     self = (F.col("first_conv") == F.col("conv_id")) & (F.col("first_turn") == F.col("turn"))
     return found.select(

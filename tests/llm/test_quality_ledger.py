@@ -42,6 +42,13 @@ def test_ablation(spark):
         assert r["n_kept_without"] == sum(not h & ~bit for h in hits)
 
 
+def test_very_long_text(spark):
+    words = [f"w{i}" for i in range(200_000)]
+    df = spark.createDataFrame([(1, "\n".join(words)), (2, " ".join(words + words[:3]))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in m.ledger(df).collect()}
+    assert got[1]["n_words"] == got[1]["n_lines"] == 200_000 and got[2]["n_repeat_words"] == 6
+
+
 def test_filter_keeps_columns(spark):
     kept = m.filter_documents(docs(spark))
     assert kept.columns == docs(spark).columns
