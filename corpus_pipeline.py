@@ -4,6 +4,14 @@ Each stage takes (spark, docs, sf_dir), works on every document that the one bef
 kept and returns a DataFrame; all but the last return the columns of ``documents``.
 A stage's result is to be written as Parquet and read again before the next one, as
 ``run`` does, since stages read their input more than once.
+
+Defined results, for every stage: columns beside doc_id and text are kept, whatever their
+names, and an empty table gives an empty result. A null or empty text has no words, so the
+quality stage drops it; the later stages keep it (null stays null), the near-dedup stage one of
+all such texts, and packing gives it its end id. Very long texts are read whole. A null doc_id is
+kept; it comes before all others in line dedup, whose first place stays, and after all
+others in near dedup, whose smallest id stays. Repeated rows are alike to every filter, count as one
+document in line dedup, and are one group in near dedup.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the line chunks and passages that an earlier one has; n_chars follows the text."""
     done = line_chunks.deduplicate(docs, passages=True)
     text = F.col(f"{done.columns[-1]}.text")
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    new = {"text": text, "n_chars": F.coalesce(F.length(text).cast("long"), F.col("n_chars"))} if "n_chars" in docs.columns else {"text": text}
     return done.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
