@@ -31,7 +31,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -70,9 +70,8 @@ class Vocabulary:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             stored = json.load(file)
         added = [t["content"] for t in stored["added_tokens"]]
@@ -87,6 +86,13 @@ class Vocabulary:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own, loaded by the few workers that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if any(a in text for a in self.added):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)

@@ -35,6 +35,8 @@ from .piece_encode import Segments
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 MAX_ROWS = 4000
+#: Words whose scores a worker remembers; it works others out again.
+KNOWN_WORDS = 200_000
 ALPHA = 1.0
 PENALTY = 1e-3
 FOLDS = 5
@@ -227,7 +229,7 @@ def _cached(shared) -> tuple[Model, Segments]:
     if key not in _scorers:
         _scorers.clear()
         model = Model(*shared.value)
-        _scorers[key] = model, Segments(lambda w: float(model.of_words([w])[0]))
+        _scorers[key] = model, Segments(lambda w: float(model.of_words([w])[0]), KNOWN_WORDS)
     return _scorers[key]
 
 
