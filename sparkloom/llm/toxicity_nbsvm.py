@@ -36,7 +36,7 @@ ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 MAX_ROWS = 4000
 #: Words whose scores a worker remembers; it works others out again.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 100_000
 ALPHA = 1.0
 PENALTY = 1e-3
 FOLDS = 5
