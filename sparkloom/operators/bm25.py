@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -113,77 +113,167 @@ def one_query(spark: SparkSession, query: str) -> DataFrame:
 
 @dataclass
 class Clause:
-    terms: list[str]
+    """A term, a phrase (several terms, at most ``slop`` moves apart) or a group in parentheses, and how it must occur."""
+
+    terms: list[str] = field(default_factory=list)
     occur: str = "should"
+    boost: float = 1.0
+    slop: int = 0
+    group: list[Clause] | None = None
 
 
 @dataclass
 class Query:
-    """What a query string asks for: clauses that must, should or must not match; a phrase is a clause of several terms."""
+    """What a query string asks for: clauses that must, should or must not match."""
 
     clauses: list[Clause] = field(default_factory=list)
     valid: bool = True
 
 
-TOKEN = re.compile(r'\s*(?:(AND|OR|NOT)(?=\s|$)|([+-]?)(?:(\w+):)?(?:"([^"]*)"|([^\s"+-][^\s"]*)))')
+TOKEN = re.compile(
+    r"""\s*(?:(?P<operator>AND|OR|NOT)(?=[\s()]|$)
+    |(?P<close>\))
+    |(?P<sign>[+-]?)(?:(?P<field>\w+):)?
+     (?:(?P<open>\()|"(?P<phrase>[^"]*)"(?:~(?P<slop>\d+))?|(?P<word>[^\s"()^+-][^\s"()^]*))
+     (?:\^(?P<boost>\d+(?:\.\d+)?))?)""",
+    re.VERBOSE,
+)
+BOOST = re.compile(r"\^(\d+(?:\.\d+)?)")
 
 
-def parse_query(text: str) -> Query:
-    """Bare words, ``"phrases"``, ``+must``, ``-not``, AND, OR, NOT and ``body:``; anything else is invalid and matches nothing."""
-    query, at, operator = Query(), 0, None
-    text = text.rstrip()
+class Malformed(ValueError):
+    """A query string that the grammar doesn't have."""
+
+
+def _group(text: str, at: int, inside: bool) -> tuple[list[Clause], int]:
+    """The clauses from ``at`` to the end, or ``inside`` parentheses to their close, and the place after them."""
+    clauses: list[Clause] = []
+    operator = None
     while at < len(text):
         found = TOKEN.match(text, at)
-        if not found or (found[3] and found[3] != "body"):
-            return Query(valid=False)
+        if not found or (found["field"] and found["field"] != "body"):
+            raise Malformed(text)
         at = found.end()
-        if found[1]:
-            if operator == "NOT" or (not query.clauses and found[1] != "NOT"):
-                return Query(valid=False)
-            if found[1] == "AND" and query.clauses[-1].occur == "should":
-                query.clauses[-1].occur = "must"
-            operator = found[1]
+        if found["close"]:
+            if not inside or operator:
+                raise Malformed(text)
+            return clauses, at
+        if found["operator"]:
+            if operator == "NOT" or (not clauses and found["operator"] != "NOT"):
+                raise Malformed(text)
+            if found["operator"] == "AND" and clauses[-1].occur == "should":
+                clauses[-1].occur = "must"
+            operator = found["operator"]
             continue
-        occur = {"+": "must", "-": "must_not"}.get(found[2], {"AND": "must", "NOT": "must_not"}.get(operator or "", "should"))
+        occur = {"+": "must", "-": "must_not"}.get(found["sign"], {"AND": "must", "NOT": "must_not"}.get(operator or "", "should"))
         operator = None
-        own = [t.lower() for t in re.findall(r"[^\W_]+", found[4] if found[4] is not None else found[5])]
-        if not own:
+        boost = float(found["boost"] or 1)
+        if found["open"]:
+            own, at = _group(text, at, True)
+            if after := BOOST.match(text, at):
+                boost, at = float(after[1]), after.end()
+            if own:
+                clauses.append(Clause(occur=occur, boost=boost, group=own))
             continue
-        query.clauses += [Clause(own, occur)] if found[4] is not None else [Clause([t], occur) for t in own]
-    return query if operator is None else Query(valid=False)
+        own = [t.lower() for t in re.findall(r"[^\W_]+", found["phrase"] if found["phrase"] is not None else found["word"])]
+        if found["phrase"] is None:
+            clauses += [Clause([t], occur, boost) for t in own]
+        elif own:
+            clauses.append(Clause(own, occur, boost, int(found["slop"] or 0)))
+    if inside or operator:
+        raise Malformed(text)
+    return clauses, at
+
+
+def parse_query(text: str) -> Query:
+    """Words, ``"phrases"``, ``"phrases"~slop``, ``( )``, ``^boost``, ``+must``, ``-not``, AND, OR, NOT and ``body:``; anything else is invalid and matches nothing."""
+    try:
+        return Query(_group(text.rstrip(), 0, False)[0])
+    except Malformed:
+        return Query(valid=False)
+
+
+def _asked(clauses: list[Clause], boost: float = 1.0) -> dict[str, float]:
+    """The weight of each term that may add to a score."""
+    out: dict[str, float] = {}
+    for clause in clauses:
+        if clause.occur != "must_not":
+            weight = boost * clause.boost
+            for term, w in (_asked(clause.group, weight) if clause.group else dict.fromkeys(clause.terms, 0.0)).items():
+                out[term] = out.get(term, 0.0) + (w if clause.group else weight * clause.terms.count(term))
+    return out
+
+
+def _near(terms: Column, phrase: list[str], slop: int) -> Column:
+    """Whether the phrase's terms stand in ``terms`` with at most ``slop`` moves in all: the spread of place less place in the phrase.
+
+    For each start (lowest shifted place) every other term takes its nearest shifted place from there on,
+    which gives the least spread; time is linear in the text per place of a term. A term that the phrase has
+    twice must be there twice, but one place may stand for both in the spread.
+    """
+
+    def shifted(term: str, at: int) -> Column:
+        return F.filter(F.transform(terms, lambda x, i: F.when(x == term, i - at)), lambda p: p.isNotNull())
+
+    places = F.array(*(shifted(t, at) for at, t in enumerate(phrase)))
+    enough = [F.size(shifted(t, 0)) >= phrase.count(t) for t in dict.fromkeys(phrase) if phrase.count(t) > 1]
+    spread = lambda start: F.aggregate(
+        places,
+        F.lit(0),
+        lambda far, own: F.greatest(far, F.coalesce(F.array_min(F.filter(own, lambda p: p >= start)) - start, F.lit(2**30))),
+    )
+    near = F.exists(F.flatten(places), lambda start: spread(start) <= slop)
+    for often in enough:
+        near &= often
+    return near
 
 
 def boolean_topk(chunks: DataFrame, postings: DataFrame, query: str | Query, k: int = 10, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """The best chunks of those that meet every clause. Phrases are looked up in the chunks that have all their terms."""
+    """The best chunks of those that meet every clause. Phrases are looked up in the chunks that have all their terms.
+
+    A group matches as a query of its own would. Every term that isn't excluded adds its weight, times the boosts round it, to
+    the score of a chunk that matches.
+    """
     spark = chunks.sparkSession
     parsed = parse_query(query) if isinstance(query, str) else query
-    positive = [c for c in parsed.clauses if c.occur != "must_not"]
-    if not parsed.valid or not positive:
+    weights = _asked(parsed.clauses)
+    if not parsed.valid or not weights:
         return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    wanted = spark.createDataFrame([(0, t) for c in positive for t in c.terms], "query_id long, term string").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    found = scores(postings, wanted)
+    wanted = spark.createDataFrame([(0, t, w) for t, w in weights.items()], "query_id long, term string, qtf double")
 
     def having(clause: Clause) -> DataFrame:
+        if clause.group is not None:
+            some = matching(clause.group, None)
+            return postings.select("chunk_id").limit(0) if some is None else some
         own = list(dict.fromkeys(clause.terms))
         all_terms = postings.filter(F.col("term").isin(*own)).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") == len(own)).select("chunk_id")
         if len(clause.terms) == 1:
             return all_terms
-        texts = chunks.select(F.col(id_col).alias("chunk_id"), F.concat(F.lit(" "), F.array_join(tx.terms(F.col(text_col)), " "), F.lit(" ")).alias("line"))
-        return all_terms.join(texts, "chunk_id").filter(F.col("line").contains(" " + " ".join(clause.terms) + " ")).select("chunk_id")
-
-    must = [c for c in parsed.clauses if c.occur == "must"]
-    should = [c for c in parsed.clauses if c.occur == "should"]
-    for clause in must:
-        found = found.join(having(clause), "chunk_id", "left_semi")
-    if not must and any(len(c.terms) > 1 for c in should):
-        some = having(should[0])
-        for clause in should[1:]:
-            some = some.union(having(clause))
-        found = found.join(some, "chunk_id", "left_semi")
-    for clause in parsed.clauses:
-        if clause.occur == "must_not":
-            found = found.join(having(clause), "chunk_id", "left_anti")
-    return ranked(found.select("query_id", "chunk_id", "score"), k)
+        texts = chunks.select(F.col(id_col).alias("chunk_id"), tx.terms(F.col(text_col)).alias("own"))
+        if clause.slop:
+            there = _near(F.col("own"), clause.terms, clause.slop)
+        else:
+            there = F.concat(F.lit(" "), F.array_join("own", " "), F.lit(" ")).contains(" " + " ".join(clause.terms) + " ")
+        return all_terms.join(texts, "chunk_id").filter(there).select("chunk_id")
+
+    def matching(clauses: list[Clause], found: DataFrame | None) -> DataFrame | None:
+        """Those of ``found`` (all chunks with a positive clause, if none is given) that meet the clauses."""
+        must = [c for c in clauses if c.occur == "must"]
+        should = [c for c in clauses if c.occur == "should"]
+        # chunks found by their terms meet a bare word already
+        if not must and should and (found is None or any(len(c.terms) != 1 for c in clauses if c.occur != "must_not")):
+            some = having(should[0])
+            for clause in should[1:]:
+                some = some.union(having(clause))
+            found = some.distinct() if found is None else found.join(some, "chunk_id", "left_semi")
+        for clause in must:
+            found = having(clause) if found is None else found.join(having(clause), "chunk_id", "left_semi")
+        for clause in clauses:
+            if clause.occur == "must_not" and found is not None:
+                found = found.join(having(clause), "chunk_id", "left_anti")
+        return found
+
+    return ranked(matching(parsed.clauses, scores(postings, wanted)).select("query_id", "chunk_id", "score"), k)
 
 
 def delete(postings: DataFrame, chunk_ids: DataFrame) -> DataFrame:

@@ -51,6 +51,42 @@ def test_grammar(chunks, query, ids):
     assert {r["chunk_id"] for r in bm25.boolean_topk(chunks, postings, query, 10).collect()} == ids
 
 
+@pytest.mark.parametrize(
+    "query, ids",
+    [
+        ("+(cat dog) +fish", {1, 2}),
+        ("cat AND (fish OR bird)", {1, 3}),
+        ("(cat -fish) bird", {3, 4}),
+        ("+fish -(cat OR dog)", {5}),
+        ("(-fish)", set()),
+        ("+(-fish) +cat", set()),
+        ("((cat))", {1, 3}),
+        ("cat^2 dog^0.5", {1, 2, 3}),
+        ("(cat dog)^3", {1, 2, 3}),
+        ('"red fish"', {5}),
+        ('"red fish"~1', {2, 5}),
+        ('"fish red"~1', set()),
+        ('"fish red"~2', {5}),
+        ('"red red"~3', set()),
+        ("(cat", set()),
+        ("cat)", set()),
+        ("(cat AND)", set()),
+        ("()", set()),
+    ],
+)
+def test_groups_boosts_and_slop(spark, query, ids):
+    rows = [(1, "a cat and a fish"), (2, "the dog, a red big fish"), (3, "cat, bird"), (4, "bird"), (5, "red fish"), (6, None), (7, "")]
+    animals = spark.createDataFrame(rows, "chunk_id long, text string")
+    assert {r["chunk_id"] for r in bm25.boolean_topk(animals, bm25.build_postings(animals), query, 10).collect()} == ids
+
+
+def test_boost_scales_a_terms_weight(spark, chunks):
+    postings = bm25.build_postings(chunks)
+    score = lambda query: {r["chunk_id"]: r["score"] for r in bm25.boolean_topk(chunks, postings, query, 10).collect()}
+    one, three = score("lock"), score("(lock^1.5)^2")
+    assert one and three == pytest.approx({i: 3 * s for i, s in one.items()}, abs=1e-5)
+
+
 def ranked(spark, ids):
     return spark.createDataFrame([(0, i, r + 1) for r, i in enumerate(ids)], "query_id long, chunk_id long, rank int")
 
