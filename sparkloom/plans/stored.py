@@ -36,7 +36,8 @@ _known: dict[tuple, Index] = {}
 _own: list[str] = []
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only under a local master where none is set."""
     if shared := spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
         return shared.rstrip("/")
     if spark.sparkContext.master.split("[")[0] != "local":
@@ -51,15 +52,18 @@ def _files(spark: SparkSession, path: str) -> tuple:
     """What tells one state of a table from another."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.listStatus(p)
-    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
+    listed, found = fs.listFiles(p, True), []
+    while listed.hasNext():
+        s = listed.next()
+        found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def of(spark: SparkSession, path: str, id_col: str, text_col: str = "text") -> Index:
     """The index of the Parquet table at ``path``."""
     key = (spark.sparkContext.applicationId, path, id_col, text_col, _files(spark, path))
     if key not in _known:
-        _known[key] = build(spark, spark.read.parquet(path), f"{_folder(spark)}/index-{uuid.uuid4().hex}", id_col, text_col)
+        _known[key] = build(spark, spark.read.parquet(path), f"{folder(spark)}/index-{uuid.uuid4().hex}", id_col, text_col)
     return _known[key]
 
 
@@ -71,8 +75,8 @@ def build(spark: SparkSession, chunks: DataFrame, out: str, id_col: str, text_co
     counted.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.option("parquet.block.size", str(4 << 20)).parquet(f"{out}/postings")
     bm25.term_stats(counted).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{out}/terms")
     row = bm25.corpus_stats(counted).first()
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/counted")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    counted_dir = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/counted")
+    counted_dir.getFileSystem(spark._jsc.hadoopConfiguration()).delete(counted_dir, True)
     return Index(out, (row["n"], row["avgdl"] or 1.0))
 
 
@@ -83,7 +87,7 @@ def _remove() -> None:
         return
     for index in _known.values():
         try:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(index.path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            known = spark._jvm.org.apache.hadoop.fs.Path(index.path)
+            known.getFileSystem(spark._jsc.hadoopConfiguration()).delete(known, True)
         except Exception as gone:  # noqa: BLE001  the JVM may be shutting down
             del gone

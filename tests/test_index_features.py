@@ -190,3 +190,15 @@ def test_paused_indexing_waits_and_deletes_go_on(spark, tmp_path):
     stream.apply_batch(batch, engine, lambda paths: paths.selectExpr("path", "'new' AS text", "3.0D AS modified_time", "3L AS size"), 4.0, pause, wait=0.01)
     assert asked == [1, 1, 1]
     assert sorted(r["path"] for r in engine.table("documents").collect()) == ["/notes/f1.txt", "/notes/f9.txt"]
+
+
+def test_stored_index_sees_files_in_nested_partitions(spark, tmp_path):
+    from sparkloom.plans import stored
+
+    path = str(tmp_path / "table")
+    put = lambda rows: spark.createDataFrame(rows, "x int, y int, doc_id long, text string").write.mode("append").partitionBy("x", "y").parquet(path)
+    put([(1, 2, 1, "red fish"), (1, 3, 2, "blue fish")])
+    first = stored.of(spark, path, "doc_id")
+    assert stored.of(spark, path, "doc_id") is first
+    put([(1, 2, 3, "green heron")])
+    assert {r["chunk_id"] for r in stored.of(spark, path, "doc_id").postings(spark).collect()} == {1, 2, 3}
