@@ -73,12 +73,12 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str) -> None:
         self.a, self.b = vocabulary(a_path), piece_encode.encoder(b_path)
         known = self.a.fast
-        self.a_bytes = [b""] * self.a.size
-        for i in known._mergeable_ranks.values():
-            self.a_bytes[i] = known.decode_single_token_bytes(i)
+        self.a_sizes = np.zeros(self.a.size, np.int64)
+        for token, i in known._mergeable_ranks.items():
+            self.a_sizes[i] = len(token)
         pieces = (self.b.whole.id_to_piece(i) for i in range(len(self.b.sizes)))
         self.b_bytes = [p.replace(piece_encode.SPACE, " ").encode() if byte is None else bytes([byte]) for p, byte in zip(pieces, self.b.bytes_of)]
-        self.a_sizes, self.b_sizes = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.b_sizes = np.array([len(t) for t in self.b_bytes], np.int64)
         self.n_b = len(self.b_bytes)
         #: Decimal ids with what follows them: inside a group's list, after its A list, after the group.
         ids = range(max(self.a.size, self.n_b))
@@ -90,13 +90,12 @@ class Aligner:
         if not text:
             return None
         raw = b" " + text.encode("utf-8", "surrogatepass")
-        b = self.b.ids(text)
+        b = self.b.whole.encode(text)
         if b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
         a = self.a.fast.encode_to_numpy(" " + text, allowed_special=set(), disallowed_special=()).astype(np.int64)
-        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw:
-            return None
-        return a, np.array(b, np.int64)
+        # a byte-level BPE cuts the bytes it is given, so their number says that all are there
+        return (a, np.array(b, np.int64)) if self.a_sizes[a].sum() == len(raw) else None
 
     def groups(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many tokens of A and of B each group holds."""
