@@ -5,9 +5,10 @@
    ones hold most of the length. It only steers pruning; results don't depend on it.
    The sample also gives every query a first lower bound for its k-th score.
 3. Queries are stored in blocks of about ``QUERY_BLOCK``, on the executors as the vectors
-   are. The vectors are dealt out over parts, and each block of queries meets each part
-   in one task, which reads the block first and then the part's rows by falling length,
-   one at a time. Nothing but the sample comes to the driver.
+   are. The vectors are dealt out over parts of ``PART`` or fewer, and each block of queries meets
+   each part in a task of its own, which reads the block first and then the part's rows by falling
+   length, one at a time. A vector is moved once a block, so the more queries a block has, the
+   fewer bytes. Nothing but the sample comes to the driver.
 4. When length times length is under every query's bound, the rest of a part's vectors
    are skipped. Otherwise the partial sum over the first half of the turned axes, plus the
    Cauchy-Schwarz bound of what is left, strikes out pairs; the others get their exact
@@ -34,7 +35,9 @@ from pyspark.sql.window import Window
 from ._shared import column, small_batches, staged, table
 
 SAMPLE = 4096
-QUERY_BLOCK = 8192
+QUERY_BLOCK = 32768
+#: Vectors that a task reads at most, but for chance; it holds one stored row of them at a time.
+PART = 1 << 20
 #: Vectors in a stored row, and queries that are multiplied at once.
 ROW = 1024
 STEP = 1024
@@ -176,6 +179,16 @@ def _search(shared, k: int, width: int):
     return search
 
 
+def meetings(stored: DataFrame, blocks: DataFrame, n_blocks: int, n_parts: int) -> DataFrame:
+    """Every block of queries with every part of the vectors: a partition each, the block's row first."""
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    part = F.pmod(F.xxhash64("ids"), F.lit(n_parts))
+    rows = stored.withColumn("floor", F.lit(None).cast("binary")).withColumn("part", part).select("part", each(n_blocks).alias("block"), *MEETING.names[1:])
+    both = blocks.select(each(n_parts).alias("part"), *MEETING.names).unionByName(rows)
+    placed = both.repartitionById(n_blocks * n_parts, (F.col("block") * n_parts + F.col("part")).cast("int"))
+    return placed.sortWithinPartitions("block", "part", F.desc_nulls_first("longest"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` for each row of ``queries``."""
     spark = small_batches(vectors.sparkSession)
@@ -198,14 +211,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     n_blocks = -(-n_asked // QUERY_BLOCK) or 1
     blocks = staged(asked.withColumn("block", F.pmod(spread, F.lit(n_blocks))).groupBy("block").applyInPandas(_blocks(shared, k, width), MEETING), "queryblocks")
 
-    # few blocks meet many parts, many blocks meet few: enough tasks either way
-    n_parts = max(1, min(-(-n // ROW), -(-2 * spark.sparkContext.defaultParallelism // n_blocks)))
-    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    part = F.pmod(F.xxhash64("ids"), F.lit(n_parts))
-    rows = stored.withColumn("floor", F.lit(None).cast("binary")).withColumn("part", part).select("part", each(n_blocks).alias("block"), *MEETING.names[1:])
-    meetings = blocks.select(each(n_parts).alias("part"), *MEETING.names).unionByName(rows)
-    placed = meetings.repartition(n_blocks * n_parts, "block", "part").sortWithinPartitions("block", "part", F.desc_nulls_first("longest"))
-    found = placed.select(*MEETING.names).mapInPandas(_search(shared, k, width), FOUND)
+    # few blocks meet many parts, many blocks meet few: enough tasks either way, and none with more than a part
+    n_parts = max(-(-n // PART), min(-(-n // ROW), -(-2 * spark.sparkContext.defaultParallelism // n_blocks)), 1)
+    found = meetings(stored, blocks, n_blocks, n_parts).select(*MEETING.names).mapInPandas(_search(shared, k, width), FOUND)
     best = Window.partitionBy("block", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

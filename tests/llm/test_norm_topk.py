@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import norm_topk as m
 
@@ -27,9 +28,10 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, score int, rank string")
 
 
-@pytest.mark.parametrize("block, row", [(8192, 1024), (4, 16)])
-def test_same_as_brute_force(spark, monkeypatch, block, row):
+@pytest.mark.parametrize("block, row, part", [(8192, 1024, 1 << 20), (4, 16, 128)])
+def test_same_as_brute_force(spark, monkeypatch, block, row, part):
     monkeypatch.setattr(m, "QUERY_BLOCK", block)
+    monkeypatch.setattr(m, "PART", part)
     monkeypatch.setattr(m, "ROW", row)
     monkeypatch.setattr(m, "SAMPLE", 20)
     df = frame(spark, vectors())
@@ -37,6 +39,18 @@ def test_same_as_brute_force(spark, monkeypatch, block, row):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute(vectors(), 5)
 
 
+def test_a_task_has_one_block_and_one_part(spark):
+    """However many blocks of queries there are, none of the tasks reads more than about a part of the vectors."""
+    stored = spark.range(640).select(F.rand(1).alias("longest"), F.lit(16).cast("long").alias("n"), F.col("id").cast("string").cast("binary").alias("ids"), F.lit(b"").alias("v"))
+    blocks = spark.range(40).select(F.col("id").alias("block"), F.lit(None).cast("double").alias("longest"), F.lit(4).cast("long").alias("n"), *(F.lit(b"").alias(c) for c in ("ids", "v", "floor")))
+    met = m.meetings(stored, blocks, 40, 8).groupBy(F.spark_partition_id().alias("task")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("block").alias("blocks"), F.count_distinct("part").alias("parts"), F.count("floor").alias("queries")
+    )
+    got = met.collect()
+    assert len(got) == 320 and sum(r["rows"] for r in got) == 40 * (640 + 8)
+    assert all((r["blocks"], r["parts"], r["queries"]) == (1, 1, 1) and r["rows"] < 2 * 640 / 8 for r in got)
+
+
 def test_same_as_sql(spark, oracle, same, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     same(m.op8_norm_topk(spark, sf_dir), oracle(m.ORACLES["op8_norm_topk"], embeddings=df))
