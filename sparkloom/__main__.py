@@ -58,7 +58,7 @@ def main(arguments: list[str] | None = None) -> int:
     elif given.command == "folders":
         print(json.dumps(engine.folders()))
     elif given.command == "compact":
-        engine.store.compact()
+        engine.compact()
         print(json.dumps({"bytes": engine.store.size()}))
     elif given.command == "doctor":
         return doctor(engine)

@@ -7,6 +7,7 @@ times made from their ids), ``events`` for search and click logs and for file ch
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..operators import analytics, answers, bm25, chunker, collections, dense, e
 from ..sources import connectors, exports, parsers
 from ..streaming import changes as stream
 from . import changes, stored
+from .segmented import KeywordIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -190,6 +192,56 @@ def agg21_corpus(spark, d):
     return bm25.corpus_stats(postings(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
+# ------------------------------------------------------------- an index in segments
+
+
+def changed_documents(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All documents as texts, and those in German with other texts."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang")
+    return docs, docs.filter("lang = 'de'").withColumn("text", F.concat("text", F.lit(" heron night")))
+
+
+def segmented_index(spark: SparkSession, d: str) -> KeywordIndex:
+    """An index of all documents in several segments: one per language, then German ones again with other texts."""
+    docs, again = changed_documents(spark, d)
+    index = KeywordIndex(spark, f"{stored.folder(spark)}/segments-{uuid.uuid4().hex}", fanout=100)
+    for row in docs.select("lang").distinct().orderBy("lang").collect():  # a few languages
+        index.upsert(docs.filter(F.col("lang").eqNullSafe(row["lang"])))
+    index.upsert(again)
+    return index
+
+
+AGAIN = "again AS (SELECT doc_id, lang, CASE WHEN lang = 'de' THEN text || ' heron night' ELSE text END AS text FROM documents)"
+LEFT = AGAIN + ", kept AS (SELECT * FROM again WHERE lang IS DISTINCT FROM 'fr')"
+
+
+@query("snk3_upsert_segments", f"WITH {AGAIN}, {TERMS.replace('FROM documents', 'FROM again')} SELECT term, chunk_id, tf, dl FROM postings")
+def snk3_upsert(spark, d):
+    return segmented_index(spark, d).table("postings")
+
+
+@query(
+    "snk3_remove_segments",
+    f"WITH {LEFT}, {TERMS.replace('FROM documents', 'FROM kept')} SELECT term, count(*) AS df, any_value(n) AS n, round(any_value(avgdl), 6) AS avgdl FROM postings, stats GROUP BY term",
+)
+def snk3_remove(spark, d):
+    index = segmented_index(spark, d)
+    index.remove(table(spark, d, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("chunk_id")))
+    (n, avgdl), terms = index.statistics()
+    return terms.select("term", "df", F.lit(n).cast("long").alias("n"), F.round(F.lit(avgdl), 6).alias("avgdl"))
+
+
+@query(
+    "str4_merged_topk",
+    f"WITH {LEFT}, " + bm25_sql("(SELECT item_id AS query_id, text AS query FROM benchmark)", 10).replace("FROM documents", "FROM kept") + " SELECT * FROM keyword",
+)
+def str4_merged(spark, d):
+    index = segmented_index(spark, d)
+    index.remove(table(spark, d, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("chunk_id")))
+    index.merge_all()
+    return index.topk(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
+
+
 @query("ret3_body", "SELECT doc_id AS chunk_id, text FROM documents WHERE doc_id = 7")
 def ret3(spark, d):
     return table(spark, d, "documents").filter("doc_id = 7").select(F.col("doc_id").alias("chunk_id"), "text")
@@ -225,8 +277,8 @@ def ret7(spark, d):
 
 @query("ret10_ivf_topk", f"WITH {dense_sql(20)} SELECT chunk_id, score FROM dense")
 def ret10(spark, d):
-    celled, model = dense.build_cells(vectors(spark, d))
-    return dense.probe(celled, model, asked_vector(spark, d), 20)
+    cells = stored.cells_of(spark, f"{d}/embeddings.parquet", "vec_id")
+    return dense.probe(cells.vectors(spark), cells.centres, asked_vector(spark, d), 20, radii=cells.radii)
 
 
 # ------------------------------------------------------------- queries, fusion

@@ -1,4 +1,4 @@
-"""Inverted indexes of source tables, built once and kept for the session.
+"""Indexes of source tables, built once and kept for the session: inverted indexes of texts, cells of vectors.
 
 An index lies in the folder that driver and executors share (``spark.checkpoint.dir``;
 a folder of our own only on one machine). It is known by the path, sizes and times of
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bm25
+from ..operators import bm25, dense
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,19 @@ class Index:
         return spark.read.schema("term string, df long").parquet(f"{self.path}/terms")
 
 
-_known: dict[tuple, Index] = {}
+@dataclass(frozen=True)
+class Cells:
+    """Vectors (chunk_id, embedding) in a folder for each cell, with the cells' centres and radii."""
+
+    path: str
+    centres: list[list[float]]
+    radii: dict[int, float]
+
+    def vectors(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("chunk_id long, embedding array<double>, apart double, cell int").parquet(f"{self.path}/cells").drop("apart")
+
+
+_known: dict[tuple, Index | Cells] = {}
 _own: list[str] = []
 
 
@@ -80,6 +92,24 @@ def build(spark: SparkSession, chunks: DataFrame, out: str, id_col: str, text_co
     return Index(out, (row["n"], row["avgdl"] or 1.0))
 
 
+def cells_of(spark: SparkSession, path: str, id_col: str, vector_col: str = "embedding") -> Cells:
+    """The cells of the Parquet table at ``path``."""
+    key = (spark.sparkContext.applicationId, path, id_col, vector_col, _files(spark, path))
+    if key not in _known:
+        rows = spark.read.parquet(path).select(F.col(id_col).alias("chunk_id"), F.col(vector_col).cast("array<double>").alias("embedding")).filter(F.col("embedding").isNotNull())
+        _known[key] = build_cells(rows, f"{folder(spark)}/cells-{uuid.uuid4().hex}")
+    return _known[key]
+
+
+def build_cells(rows: DataFrame, out: str, cells: int | None = None) -> Cells:
+    n = rows.count()
+    centres = dense.fit_centres(rows, cells or dense.n_cells(n)) if n else []
+    celled = dense.in_cells(rows, centres) if n else rows.withColumn("apart", F.lit(None).cast("double")).withColumn("cell", F.lit(-1))
+    celled.repartition("cell", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).write.partitionBy("cell").parquet(f"{out}/cells")
+    stats = dense.cell_stats(rows.sparkSession.read.schema("apart double, cell int").parquet(f"{out}/cells"))
+    return Cells(out, centres, dense.radii_of(stats))
+
+
 @atexit.register
 def _remove() -> None:
     spark = SparkSession.getActiveSession()

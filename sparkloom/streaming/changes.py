@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -35,15 +36,15 @@ def debounced(events: DataFrame, gap: str = "2 seconds", root_col: str | None =
     A burst is that of one watched root, as any event there puts the flush off. Over a table,
     events are first summed up in cells as wide as the gap, all of whose events are in one
     burst; borders are found between cells, and each path's last event by a plain aggregate,
-    so that no row holds a burst. In a stream a burst is a session, and the watermark says
-    when it is over; its state is bounded by what changed in it.
+    so that no row holds a burst. In a stream a root's state holds its open bursts, the last
+    event of each path in them, and a timer; the watermark says when a burst is over.
     """
     root = F.col(root_col) if root_col else F.regexp_extract("path", "^(/?[^/]*)", 1)
     if "seq" not in events.columns:
         events = events.withColumn("seq", F.lit(0))
     events = events.withColumn("root", root)
     if events.isStreaming:
-        return _sessions(events, gap)
+        return _bursts(events, gap)
     events = events.filter(F.col("ts").isNotNull()).withColumn("cell", F.window("ts", gap)["start"])
     cells = events.groupBy("root", "cell").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     order = Window.partitionBy("root").orderBy("cell")
@@ -58,12 +59,48 @@ def debounced(events: DataFrame, gap: str = "2 seconds", root_col: str | None =
     return found.join(ends, F.col("root").eqNullSafe(F.col("r")) & (F.col("start") == F.col("s"))).select("root", "start", "end", "path", "event_type")
 
 
-def _sessions(events: DataFrame, gap: str) -> DataFrame:
-    bursts = events.groupBy("root", F.session_window("ts", gap).alias("w")).agg(F.collect_list(F.struct("path", "ts", "seq", "event_type")).alias("all"))
-    # of a burst's events, sorted, the last per path is the one that the next one's path differs from
-    ordered = bursts.select("root", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.array_sort("all").alias("ordered"))
-    last = F.filter("ordered", lambda e, i: F.coalesce(F.get("ordered", i + 1)["path"] != e["path"], F.lit(True)))
-    return ordered.select("root", "start", "end", F.explode(last).alias("e")).select("root", "start", "end", "e.path", "e.event_type")
+def add_event(bursts: list[dict], path: str, event_type: str, ts: int, seq: int, gap: int) -> list[dict]:
+    """Open bursts of a root with one event more; those that it joins become one. Of a path only the last event is kept."""
+    joined = {"start": ts, "last": ts, "events": {path: [ts, seq, event_type]}}
+    apart = []
+    for burst in bursts:
+        if burst["start"] > ts + gap or ts > burst["last"] + gap:
+            apart.append(burst)
+            continue
+        joined["start"], joined["last"] = min(joined["start"], burst["start"]), max(joined["last"], burst["last"])
+        for other, event in burst["events"].items():
+            joined["events"][other] = max(event, joined["events"].get(other, event))
+    return [*apart, joined]
+
+
+def _bursts(events: DataFrame, gap: str) -> DataFrame:
+    """Bursts of a stream. The state of a root is its open bursts, each with the last event of every path, and a timer at the
+    first one's end: a path's size there doesn't grow with its events."""
+    import pandas as pd
+
+    width = int(pd.Timedelta(gap).total_seconds() * 1e6)
+
+    def follow(key, frames, state):
+        watermark = state.getCurrentWatermarkMs() * 1000
+        bursts = json.loads(state.get[0]) if state.exists else []
+        for frame in frames:
+            for path, event_type, ts, seq in zip(frame["path"], frame["event_type"], frame["us"], frame["seq"]):
+                if ts + width > watermark:  # a later event's burst has been given out already
+                    bursts = add_event(bursts, path, event_type, int(ts), int(seq), width)
+        over = [b for b in bursts if b["last"] + width <= watermark]
+        bursts = [b for b in bursts if b["last"] + width > watermark]
+        if bursts:
+            state.update((json.dumps(bursts),))
+            state.setTimeoutTimestamp(min(b["last"] for b in bursts) // 1000 + width // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        rows = [(key[0], b["start"], b["last"] + width, path, event[2]) for b in over for path, event in b["events"].items()]
+        yield pd.DataFrame(rows, columns=["root", "start", "end", "path", "event_type"])
+
+    timed = events.filter(F.col("ts").isNotNull() & F.col("path").isNotNull()).select("root", "path", "event_type", "ts", F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"))
+    out = "root string, start long, end long, path string, event_type string"
+    found = timed.groupBy("root").applyInPandasWithState(follow, out, "bursts string", "append", "EventTimeTimeout")
+    return found.select("root", F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "path", "event_type")
 
 
 def tumbling_last(events: DataFrame, width: str = "2 seconds") -> DataFrame:

@@ -103,15 +103,43 @@ def test_vectors_linear_and_means(spark):
     assert {r["doc_id"]: r["embedding"] for r in collections.document_vectors(chunks).collect()} == {1: [2.0, 3.0], 2: [5.0, 6.0]}
 
 
-def test_debounce_of_a_table_and_of_a_session(spark):
-    """Cells and sessions find the same bursts, at the border too, and the last event of each path counts."""
-    events = spark.sql(
-        """SELECT * FROM VALUES ('/a/x', 'created', 0, 1), ('/a/x', 'modified', 1999, 2), ('/a/y', 'created', 1500, 3), ('/a/y', 'deleted', 1500, 4), ('/a/x', 'deleted', 3999, 5),
-        ('/a/z', 'created', 5998, 6), ('/a/z', 'modified', 20000, 7), ('/b/x', 'created', 21999, 8), ('/b/x', 'modified', 23999, 9) AS t(path, event_type, ms, seq)"""
-    ).selectExpr("path", "event_type", "timestamp_millis(ms + 1700000000123) AS ts", "seq")
-    by_cells = sorted(map(tuple, stream.debounced(events).collect()))
-    by_sessions = sorted(map(tuple, stream._sessions(events.withColumn("root", F.regexp_extract("path", "^(/?[^/]*)", 1)), "2 seconds").collect()))
-    assert [r[3:] for r in by_cells] == [r[3:] for r in by_sessions] and len(by_cells) >= 5
+def test_debounce_of_a_table_and_of_a_stream(spark, tmp_path):
+    """Cells and the stream's state find the same bursts, at the border too and over a restart, and the last event of each path counts."""
+    events = [
+        ("/a/x", "created", 0, 1), ("/a/x", "modified", 1999, 2), ("/a/y", "created", 1500, 3), ("/a/y", "deleted", 1500, 4), ("/a/x", "deleted", 3999, 5),
+        ("/a/z", "created", 5999, 6), ("/a/z", "modified", 20000, 7), ("/b/x", "created", 21999, 8), ("/b/x", "modified", 23999, 9), ("/b/w", "created", 26000, 10),
+    ]
+    schema = "path string, event_type string, ms long, seq long"
+    timed = lambda df: df.selectExpr("path", "event_type", "timestamp_millis(ms + 1700000000123) AS ts", "seq")
+    source, rows = tmp_path / "in", []
+    source.mkdir()
+
+    def run(n, some, late=0):
+        (source / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("path", "event_type", "ms", "seq"), e))) for e in some))
+        read = timed(spark.readStream.schema(schema).json(str(source))).withWatermark("ts", "40 seconds")
+        keep = lambda df, _: rows.extend(map(tuple, df.collect()))
+        query = stream.debounced(read).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "checkpoint")).foreachBatch(keep).start()
+        query.processAllAvailable()
+        query.stop()
+
+    run(1, events[::2])
+    run(2, events[1::2])
+    run(3, [("/c/end", "created", 90000, 11)])
+    run(4, [("/c/end", "created", 180000, 12), ("/a/x", "created", 1000, 13)])  # the last one is too late
+    by_cells = timed(spark.createDataFrame(events, schema))
+    expected = sorted(tuple(r) for r in stream.debounced(by_cells).collect())
+    assert sorted(r for r in rows if r[0] != "/c") == expected and len(expected) >= 5
+
+
+def test_a_bursts_state_holds_one_event_a_path():
+    bursts = []
+    for i in range(1000):
+        bursts = stream.add_event(bursts, f"p{i % 3}", "modified", i * 10, i, 100)
+    assert len(bursts) == 1 and bursts[0]["start"] == 0 and bursts[0]["last"] == 9990
+    assert {p: e[1] for p, e in bursts[0]["events"].items()} == {"p0": 999, "p1": 997, "p2": 998}
+    # one that comes late and lies between two bursts makes them one
+    two = stream.add_event(stream.add_event([], "a", "created", 0, 0, 100), "b", "created", 150, 1, 100)
+    assert len(two) == 2 and len(stream.add_event(two, "c", "created", 80, 2, 100)) == 1
 
 
 def test_discovery_lists_by_type_and_reads_ignore_files(spark, tmp_path):

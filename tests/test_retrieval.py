@@ -124,8 +124,8 @@ def test_dense(spark):
     assert 17 not in [r["chunk_id"] for r in dense.topk(df, q, 10, tombstones=dead).collect()]
     with pytest.raises(Exception, match="components"):
         dense.topk(df, q[:4], 3).collect()
-    celled, model = dense.build_cells(df, 5)
-    assert {r["chunk_id"] for r in dense.probe(celled, model, q, 10, probes=5).collect()} == {i for _, i in exact}
+    centres = dense.fit_centres(df, 5)
+    assert {r["chunk_id"] for r in dense.probe(dense.in_cells(df, centres), centres, q, 10, probes=5).collect()} == {i for _, i in exact}
     assert dense.topk(df.limit(0), q, 3).collect() == []
 
 
@@ -135,13 +135,44 @@ def test_probe_is_exact_below_the_cell_count(spark):
     grouped = [(i, [rng.gauss(9 * (i % 10 == j), 0.1) for j in range(10)]) for i in range(400)]
     for rows in (flat, grouped):
         df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
-        celled, model = dense.build_cells(df, 10)
-        celled = celled.cache()
+        centres = dense.fit_centres(df, 10)
+        celled = dense.in_cells(df, centres).cache()
+        radii = dense.radii_of(dense.cell_stats(celled))
         for at in range(0, 400, 57):
             q = rows[at][1]
             exact = [tuple(r) for r in dense.topk(df, q, 20).collect()]
-            assert [tuple(r) for r in dense.probe(celled, model, q, 20, probes=2).collect()] == exact
-        assert len(dense.cells_within(celled, model, q, 20, 2)) < 10 or rows is flat
+            assert [tuple(r) for r in dense.probe(celled, centres, q, 20, probes=2, radii=radii).collect()] == exact
+            assert [tuple(r) for r in dense.probe(celled.drop("apart"), centres, q, 20, probes=2).collect()] == exact
+        assert len(dense.cells_within(celled, centres, q, 20, radii, 2)) < 10 or rows is flat
+
+
+def test_a_probe_of_grouped_vectors_reads_few_cells(spark, tmp_path):
+    """Under a third of the cells' files, exact or not, and at least nine tenths of the rows."""
+    from urllib.parse import unquote
+
+    from sparkloom.plans import stored
+
+    rng = random.Random(8)
+    spots = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(24)]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in spots[i % 24]]) for i in range(1200)]
+    df = spark.createDataFrame([*rows, (5000, None)], "chunk_id long, embedding array<double>")
+    cells = stored.build_cells(df.filter("embedding IS NOT NULL"), str(tmp_path / "cells"), 24)
+    assert len(cells.radii) <= 24 and cells.vectors(spark).count() == 1200
+    whole = {unquote(f) for f in cells.vectors(spark).inputFiles()}
+    folder = lambda files: {f.rpartition("/")[0] for f in files}
+    good = 0
+    for at in range(0, 1200, 117):
+        q = rows[at][1]
+        best = [tuple(r) for r in dense.topk(df, q, 20).collect()]
+        read = dense.probe(cells.vectors(spark), cells.centres, q, 20, probes=2, radii=cells.radii)
+        assert [tuple(r) for r in read.collect()] == best
+        near = dense.probe(cells.vectors(spark), cells.centres, q, 20, probes=3, radii=cells.radii, exact=False)
+        good += len({r["chunk_id"] for r in near.collect()} & {i for i, _ in best})
+        scan = next(n for n in str(near._jdf.queryExecution().executedPlan()).splitlines() if "FileScan" in n)
+        assert "PartitionFilters: [isnotnull(cell" in scan or "PartitionFilters: [cell" in scan
+        wanted = dense.cells_within(cells.vectors(spark), cells.centres, q, 20, cells.radii, 2)
+        assert len(wanted) * 3 < len(folder(whole))
+    assert good >= 0.9 * 20 * len(range(0, 1200, 117))
 
 
 def test_results(spark):
