@@ -1,6 +1,6 @@
 """BM25 over an inverted index kept as a DataFrame of postings (term, chunk_id, tf, dl).
 
-Index terms are counted where they are read and combined before the shuffle. A batch of
+Index terms are counted where they are read. A batch of
 queries is joined with the postings on the term; AQE broadcasts the queries' terms when
 they are few, and splits very common terms when they are not.
 """
@@ -15,17 +15,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..functions.vectors import let
 
 K1, B = 1.2, 0.75
 DIGITS = 6
 LONGEST = tx.LONGEST_TERM
 
 
+def counted(terms: Column) -> Column:
+    """array<struct<term, tf, dl>> of an array of terms: sorted, so that equal ones are runs, whose lengths are the counts.
+
+    The number of all terms, ``dl``, is in each struct, so that nothing else of a text is copied for each of its terms.
+    """
+
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        tf = lambda begins, at, i: (F.coalesce(F.get(begins, i + 1), n) - at).cast("long")
+        one = lambda begins, at, i: F.struct(F.get(ordered, at).alias("term"), tf(begins, at, i).alias("tf"), n.cast("long").alias("dl"))
+        return let(starts, lambda begins: F.transform(begins, lambda at, i: one(begins, at, i)))
+
+    return let(F.sort_array(terms), runs)
+
+
 def build_postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """One row per term of a chunk; a null or wordless text has none."""
-    listed = chunks.select(F.col(id_col).alias("chunk_id"), tx.terms(F.col(text_col)).alias("terms"))
-    exploded = listed.select("chunk_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
-    return exploded.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "chunk_id", "tf", "dl")
+    """One row per term of a chunk; a null or wordless text has none. A chunk is one row, so its terms are counted there, without a shuffle."""
+    exploded = chunks.select(F.col(id_col).alias("chunk_id"), F.inline(counted(tx.terms(F.col(text_col)))))
+    return exploded.select("term", "chunk_id", "tf", "dl")
 
 
 def chunk_lengths(postings: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import analytics, answers, bm25, chunker, collections, dense, embedder, evaluation, fusion, results, snippets
+from ..operators import analytics, answers, bm25, chunker, collections, dense, embedder, evaluation, fusion, graph, results, snippets
 from ..sources import connectors, exports, parsers
 from ..streaming import changes as stream
 from . import changes, stored
@@ -281,6 +281,28 @@ def ret10(spark, d):
     return dense.probe(cells.vectors(spark), cells.centres, asked_vector(spark, d), 20, radii=cells.radii)
 
 
+MANY_NEAR = """q AS (
+  SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS qv FROM embeddings WHERE vec_id % 50 = 0
+), near AS (
+  SELECT query_id, vec_id AS chunk_id, round(list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), qv), 4) AS score FROM embeddings, q
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near QUALIFY rank <= 10
+)"""
+
+
+@query("ret9_graph_recall", f"WITH {MANY_NEAR} SELECT query_id, count(*) AS wanted, TRUE AS good FROM best GROUP BY query_id")
+def ret9(spark, d):
+    """For each 50th vector: how many of its 10 nearest there are, and whether the graph finds nine tenths of them."""
+    rows = vectors(spark, d).select("chunk_id", "embedding")
+    asked = rows.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    cut = stored.cutter(spark, f"{stored.folder(spark)}/search-{uuid.uuid4().hex}")
+    found, _ = graph.search(stored.graph_of(spark, f"{d}/embeddings.parquet", "vec_id").edges(spark), rows, asked, cut)
+    every = asked.join(rows, how="cross").select("query_id", "chunk_id", F.round(vx.dot(F.col("embedding"), F.col("vector")), 4).alias("score"))
+    exact = bm25.ranked(every, 10)
+    both = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    return both.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("good"))
+
+
 # ------------------------------------------------------------- queries, fusion
 
 QUERIES_SQL = "(SELECT item_id, text FROM benchmark UNION ALL SELECT doc_id, left(text, strpos(text, '.')) FROM documents)"

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bm25, dense
+from ..operators import bm25, dense, graph
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,17 @@ class Cells:
         return spark.read.schema("chunk_id long, embedding array<double>, apart double, cell int").parquet(f"{self.path}/cells").drop("apart")
 
 
-_known: dict[tuple, Index | Cells] = {}
+@dataclass(frozen=True)
+class Graph:
+    """The neighbour graph of a table of vectors."""
+
+    path: str
+
+    def edges(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("a long, b long, score double").parquet(f"{self.path}/edges")
+
+
+_known: dict[tuple, Index | Cells | Graph] = {}
 _own: list[str] = []
 
 
@@ -110,6 +120,30 @@ def build_cells(rows: DataFrame, out: str, cells: int | None = None) -> Cells:
     return Cells(out, centres, dense.radii_of(stats))
 
 
+def cutter(spark: SparkSession, out: str):
+    """A function that writes a DataFrame under ``out`` and reads it back, so that nothing is worked out twice."""
+
+    def cut(rows: DataFrame) -> DataFrame:
+        path = f"{out}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    return cut
+
+
+def graph_of(spark: SparkSession, path: str, id_col: str, vector_col: str = "embedding") -> Graph:
+    """The neighbour graph of the Parquet table at ``path``."""
+    key = (spark.sparkContext.applicationId, "graph", path, id_col, vector_col, _files(spark, path))
+    if key not in _known:
+        out = f"{folder(spark)}/graph-{uuid.uuid4().hex}"
+        rows = spark.read.parquet(path).select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("embedding"))
+        graph.build(rows, cutter(spark, f"{out}/rounds")).repartitionByRange("a").sortWithinPartitions("a").write.parquet(f"{out}/edges")
+        rounds = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/rounds")
+        rounds.getFileSystem(spark._jsc.hadoopConfiguration()).delete(rounds, True)
+        _known[key] = Graph(out)
+    return _known[key]
+
+
 @atexit.register
 def _remove() -> None:
     spark = SparkSession.getActiveSession()
