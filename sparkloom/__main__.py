@@ -34,10 +34,10 @@ def doctor(engine: Engine) -> int:
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sparkloom")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("index", "search", "info", "remove", "status", "folders", "doctor", "compact"):
+    for name in ("index", "search", "info", "remove", "status", "folders", "doctor", "compact", "import-mail"):
         sub = commands.add_parser(name)
         sub.add_argument("path", help="folder of the index")
-        if name in ("index", "remove"):
+        if name in ("index", "remove", "import-mail"):
             sub.add_argument("directory")
         if name == "search":
             sub.add_argument("words", nargs="+")
@@ -49,6 +49,8 @@ def main(arguments: list[str] | None = None) -> int:
     engine = Engine(session(), given.path)
     if given.command == "index":
         print(json.dumps(engine.index_path(given.directory, time.time())))
+    elif given.command == "import-mail":
+        print(json.dumps(engine.import_mail(given.directory, time.time())))
     elif given.command == "remove":
         print(json.dumps({"version": engine.remove(folder=given.directory)}))
     elif given.command == "info":

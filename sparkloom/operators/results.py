@@ -77,7 +77,11 @@ def list_filter(df: DataFrame, file_type: str | None = None, text: str | None =
 
 # ------------------------------------------------------------- order and pages
 
+# Other names of sort orders, the keys of the file list, and what ends a preview that is cut.
 ALIASES = {"date": "date_modified", "size": "file_size", "name": "file_type"}
+LIST_KEYS = ("filename", "extension", "size", "modified_time", "indexed_time", "num_chunks", "path")
+TRUNCATED = "\n\n... (truncated)"
+# End of fixed values.
 
 
 def sort_columns(sort: str = "relevance") -> list[Column]:
@@ -93,9 +97,6 @@ def sort_columns(sort: str = "relevance") -> list[Column]:
     return [*columns[sort], F.asc("path")]
 
 
-LIST_KEYS = ("filename", "extension", "size", "modified_time", "indexed_time", "num_chunks", "path")
-
-
 def list_order(key: str = "indexed_time", descending: bool = True) -> list[Column]:
     key = key if key in LIST_KEYS else "indexed_time"
     column = F.lower(key) if key in ("filename", "extension", "path") else F.col(key)
@@ -124,7 +125,7 @@ def api_row(df: DataFrame) -> DataFrame:
 def preview(chunks: DataFrame, most: int = 10_000) -> DataFrame:
     """(doc_id, preview): a document's chunks in order, cut after ``most`` characters."""
     joined = full_text(chunks)
-    cut = F.when(F.length("full") > most, F.concat(F.substring("full", 1, most), F.lit("\n\n... (truncated)"))).otherwise(F.col("full"))
+    cut = F.when(F.length("full") > most, F.concat(F.substring("full", 1, most), F.lit(TRUNCATED))).otherwise(F.col("full"))
     return joined.select("doc_id", cut.alias("preview"))
 
 
