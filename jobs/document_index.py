@@ -137,7 +137,8 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config:
         index_batch(rows, batch, out, id_type, config)
         done.append(batch)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(documents)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["files_per_batch"])
+    stream = stream.option("maxFileAge", config["file_age"]).parquet(documents)  # Spark's own limit of a week would pass over older files that come late
     query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
     tables = Tables(spark, out, id_type)

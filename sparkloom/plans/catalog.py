@@ -19,6 +19,7 @@ from ..operators import analytics, answers, bm25, chunker, collections, dense, e
 from ..sources import connectors, exports, parsers
 from ..streaming import changes as stream
 from . import changes, stored
+from .engine import Engine
 from .segmented import KeywordIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,6 +243,23 @@ def str4_merged(spark, d):
     return index.topk(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 10)
 
 
+@query(
+    "str6_incremental_index",
+    f"""WITH {DOCS}, twice AS (SELECT *, extension = '.md' AS changed FROM docs WHERE NOT starts_with(path, '/src1/'))
+SELECT path, CASE WHEN text IS NULL THEN 'failed' ELSE 'done' END AS indexing_state, sha256(CASE WHEN changed THEN text || ' heron' ELSE text END) AS content_hash,
+  modified_time + changed::INTEGER AS modified_time, (1706659200 + changed::INTEGER)::DOUBLE AS indexed_time FROM twice""",
+)
+def str6(spark, d):
+    """All documents indexed, those of a type again with newer texts, one folder removed: what the engine then knows."""
+    files = documents(spark, d).select("path", "extension", "text", "modified_time", "size")
+    engine = Engine(spark, f"{stored.folder(spark)}/engine-{uuid.uuid4().hex}")
+    engine.index(files, NOW)
+    newer = files.filter("extension = '.md'").withColumn("text", F.concat("text", F.lit(" heron"))).withColumn("modified_time", F.col("modified_time") + 1)
+    engine.index(files.filter("extension <> '.md'").unionByName(newer), NOW + 1)
+    engine.remove(folder="/src1")
+    return engine.table("documents").select("path", "indexing_state", "content_hash", "modified_time", "indexed_time")
+
+
 @query("ret3_body", "SELECT doc_id AS chunk_id, text FROM documents WHERE doc_id = 7")
 def ret3(spark, d):
     return table(spark, d, "documents").filter("doc_id = 7").select(F.col("doc_id").alias("chunk_id"), "text")

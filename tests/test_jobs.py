@@ -3,6 +3,7 @@
 import json
 import logging
 import math
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -100,6 +101,17 @@ def test_many_files_a_batch_each(spark, library, tmp_path):
     assert {r[5] for r in got if r[2] == "same"} == {3}
 
 
+def test_a_file_with_an_old_date_is_not_passed_over(spark, library, tmp_path):
+    run, out = library
+    run([(1, "red fish", "en", 0)])
+    before = set((tmp_path / "documents").glob("*.parquet"))
+    put(spark, tmp_path / "documents", [(2, "blue heron", "en", 0)])
+    for file in set((tmp_path / "documents").glob("*.parquet")) - before:
+        os.utime(file, (1e9, 1e9))
+    assert run() == 1
+    assert {r[0] for r in index(spark, out)} == {1, 2}
+
+
 def test_empty_folder_of_documents(spark, library):
     run, out = library
     run([])
