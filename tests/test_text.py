@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -116,3 +117,10 @@ def test_highlight(spark):
     assert df.select(snippets.highlight(df["text"], "lock and")).first()[0] == "A+B and <mark>Lock</mark>, <mark>lock</mark>ers"
     assert df.select(snippets.highlight(df["text"], "lock", ("$1", "\\"))).first()[0] == "A+B and $1Lock\\, $1lock\\ers"
     assert snippets.densest_window("a " * 200 + "lock lock", "lock", 50)[1].count("lock") == 2
+    rng = random.Random(6)
+    for _ in range(50):
+        text, size = " ".join(rng.choice(("lock", "weir", "a", "of it")) for _ in range(rng.randrange(60))), rng.choice((10, 25, 60))
+        spans = [m.span() for m in re.finditer("lock|weir", text)]
+        begins = [max(0, s - size // 4) for s, _ in spans] or [0]
+        best = max(begins, key=lambda b: (sum(b <= s and e <= b + size for s, e in spans), -b))
+        assert (snippets.densest_window(text, "lock weir", size) or (0, 0, 0))[2] == best
