@@ -104,3 +104,21 @@ def search(edges: DataFrame, rows: DataFrame, queries: DataFrame, cut: Cut, k: i
         seen = seen.unionByName(found)
     top = seen.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return top.select("query_id", "chunk_id", "score", "rank"), seen.drop("hop")
+
+
+def reaching(edges: DataFrame, rows: DataFrame, queries: DataFrame, wanted: DataFrame, cut: Cut, share: float = 0.9, k: int = 10, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+    """What ``search`` finds where an exact result, ``wanted`` (query_id, chunk_id), is there to check it.
+
+    Queries that have less than ``share`` of it are searched again with twice the beam and hops, until none
+    is short or the beam has room for every vector; the others' results stay.
+    """
+    n, short, found = rows.count(), queries, None
+    while True:
+        now = cut(search(edges, rows, short, cut, k, beam, hops)[0])
+        found = now if found is None else found.join(short.select("query_id"), "query_id", "left_anti").unionByName(now)
+        hits = wanted.join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+        behind = hits.groupBy("query_id").agg((F.count("hit") < share * F.count(F.lit(1))).alias("behind")).filter("behind")
+        short = cut(queries.join(behind, "query_id", "left_semi"))
+        if beam >= n or short.isEmpty():
+            return found
+        beam, hops = 2 * beam, 2 * hops

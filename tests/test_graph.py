@@ -42,3 +42,24 @@ def test_empty(spark, cut):
     edges = graph.build(one, cut)
     found, _ = graph.search(edges, one, spark.createDataFrame([(7, [0.5, 0.5])], "query_id long, vector array<double>"), cut)
     assert [tuple(r) for r in found.collect()] == [(7, 1, 0.5, 1)]
+
+
+def test_wider_beams_where_the_first_falls_short(spark, cut):
+    """A narrow beam misses neighbours of some queries; an exact check has these searched on."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(32)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").cache()
+    edges = graph.build(df, cut, degree=4, rounds=1, tables=2).cache()
+    asked = spark.createDataFrame([(i, rows[i][1]) for i in range(0, 300, 30)], "query_id long, vector array<double>")
+    exact = {i: {r["chunk_id"] for r in dense.topk(df, rows[i][1], 10).collect()} for i in range(0, 300, 30)}
+    wanted = spark.createDataFrame([(q, c) for q, own in exact.items() for c in own], "query_id long, chunk_id long")
+
+    def least(found):
+        got = {q: set() for q in exact}
+        for r in found.collect():
+            got[r["query_id"]].add(r["chunk_id"])
+        assert all(len(own) <= 10 for own in got.values())
+        return min(len(exact[q] & got[q]) for q in exact)
+
+    assert least(graph.search(edges, df, asked, cut, beam=12)[0]) < 9
+    assert least(graph.reaching(edges, df, asked, wanted, cut, beam=12)) >= 9
