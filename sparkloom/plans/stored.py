@@ -81,6 +81,11 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted(found))
 
 
+def known(spark: SparkSession, path: str, id_col: str, text_col: str = "text") -> Index | None:
+    """The index of the Parquet table at ``path``, if it has been built in this session."""
+    return _known.get((spark.sparkContext.applicationId, path, id_col, text_col, _files(spark, path)))
+
+
 def of(spark: SparkSession, path: str, id_col: str, text_col: str = "text") -> Index:
     """The index of the Parquet table at ``path``."""
     key = (spark.sparkContext.applicationId, path, id_col, text_col, _files(spark, path))

@@ -224,3 +224,23 @@ def test_pairs_and_topics(spark):
     docs = spark.createDataFrame([(i, f"report_{i}-budget {i}.pdf") for i in range(62)], "id long, filename string")
     labels = collections.topic_labels(assigned, docs).collect()
     assert {r["label"] for r in labels} == {"Budget / Report"} and sum(r["n"] for r in labels) == 62
+
+
+def test_batches_scored_chunk_by_chunk_as_by_joins(spark, tmp_path):
+    """Ties to the smaller id, terms that occur twice in a query, texts of equal words, null and wordless ones; nothing is multiplied by the queries."""
+    from sparkloom.plans import stored
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))) for i in range(300)] + [(i, "w1 w2 w3") for i in range(400, 460)] + [(500, None), (501, " ."), (502, "w1 " + "x" * 41)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w2"), (2, "w3"), (3, "nowhere"), (4, "w9 W1, w11"), (5, "w1 w2 w3"), (6, "")], "query_id long, query string")
+    postings = bm25.build_postings(chunks)
+    expected = sorted(map(tuple, bm25.ranked(bm25.scores(postings, bm25.query_terms(asked)), 7).select("query_id", "chunk_id", "score", "rank").collect()))
+    by_chunk = bm25.topk(postings, asked, 7)
+    from_texts = bm25.topk_texts(chunks, asked, stored.cutter(spark, str(tmp_path / "cut")), 7)
+    for found in (by_chunk, from_texts):
+        assert sorted(map(tuple, found.select("query_id", "chunk_id", "score", "rank").collect())) == expected
+    assert bm25.Batch.of(asked).counts.sum() == 11
+    none = bm25.topk_texts(chunks.limit(0), asked, stored.cutter(spark, str(tmp_path / "none")), 7)
+    assert none.collect() == [] and bm25.topk(postings, asked.limit(0), 7).collect() == []
