@@ -244,3 +244,17 @@ def test_batches_scored_chunk_by_chunk_as_by_joins(spark, tmp_path):
     assert bm25.Batch.of(asked).counts.sum() == 11
     none = bm25.topk_texts(chunks.limit(0), asked, stored.cutter(spark, str(tmp_path / "none")), 7)
     assert none.collect() == [] and bm25.topk(postings, asked.limit(0), 7).collect() == []
+
+
+def test_blocks_of_pairs_do_not_multiply_vectors(spark):
+    """However many vectors there are, each is moved a bounded number of times; slices of a block give all pairs, and null vectors none."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)] + [(900, None)]
+    df = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    pairs = collections.duplicate_pairs(df, 0.9, None, 2)
+    assert "rangepartitioning" not in pairs._jdf.queryExecution().toString()
+    moved = pairs._jdf.queryExecution().toString().split("sequence(0, ")[1].split(",")[0].split(")")[0]
+    assert int(moved) < 16
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, collections.duplicate_pairs(df, 0.9, None, 1024).collect()))
+    best = collections.duplicate_pairs(df, 0.9, 5, 2).collect()
+    assert [r["similarity"] for r in best] == sorted((r["similarity"] for r in pairs.collect()), reverse=True)[:5]
