@@ -87,6 +87,21 @@ def test_chunk_table(spark):
     assert {(r["doc_id"], r["text"], r["chunk_index"], r["char_offset"]) for r in rows} == {(i, *c) for i, t in ((1, "A" * 1000), (4, "One. " * 300)) for c in chunker.chunk(t)}
 
 
+def test_chunks_are_handed_on_in_small_batches(spark, monkeypatch):
+    """A task's chunks don't wait for the end of its batch of texts; ids of any type stay with theirs."""
+    monkeypatch.setattr(chunker, "AT_ONCE", 2000)
+    made = []
+    docs = spark.createDataFrame([(f"d{i}", "One two. " * (100 * (i % 3))) for i in range(40)], "id string, text string").coalesce(1)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda rows, run, schema: made.extend(b.num_rows for b in run(iter(rows.toArrow().combine_chunks().to_batches()))) or rows)
+    for strategy, cut in (("sentence", chunker.chunk), ("window", chunker.chunk_window)):
+        made.clear()
+        chunker.with_chunks(docs, strategy=strategy)
+        assert sum(made) == sum(len(cut("One two. " * (100 * (i % 3)))) for i in range(40)) and len(made) > 10
+    monkeypatch.undo()
+    rows = chunker.with_chunks(docs, strategy="window").collect()
+    assert {(r["doc_id"], r["chunk_index"], r["text"]) for r in rows} == {(f"d{i}", c[1], c[0]) for i in range(40) for c in chunker.chunk_window("One two. " * (100 * (i % 3)))}
+
+
 # ------------------------------------------------------------- snippets
 
 TEXT = "Herons nest in reeds. " * 20 + "Otters swim by the lock at night. " + "Nothing else here. " * 20
