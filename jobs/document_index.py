@@ -8,12 +8,17 @@ text has changed are indexed. Every batch writes its own partitions, by dynamic
 of three tables in ``--out``:
 
     documents  batch, folder | doc_id, n_terms, digest, replaces   replaces: the batch whose rows of it no longer count
-    postings   batch, bucket | term, doc_id, tf, dl                bucket: a hash of the term
+    postings   batch, bucket | term, doc_id, tf, dl, folder        bucket: a hash of the term
     changes    batch         | term, df, cf                        what the batch adds to and takes from the counts
 
 so what an interrupted run has written is written over when its batch is done again, and a run
 without new files changes nothing. At the end ``dictionary`` (bucket | term, df, cf) is made
-from ``changes``. ``read`` gives the index as it stands.
+from ``changes``. ``read`` gives the index as it stands. An index from before postings had
+their document's folder has to be made anew.
+
+Texts are read twice, for their digests and for their terms. They are moved only where an id has
+several rows in a batch, or where more than ``FEW`` documents of a later batch have changed. Postings are
+moved once, into files of a bounded size, so that a larger batch has more files and not larger tasks.
 
 Defined results: a null text counts as empty and has no postings (so it takes a document's
 words out of the index). Rows without an id are counted in the log and not indexed. Of several
@@ -39,11 +44,15 @@ log = logging.getLogger("jobs.document_index")
 CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "document_index.json")
 #: Columns of the tables, those after the bar as partitions.
 TABLES = {
-    "postings": ("term string, doc_id {id}, tf long, dl long, batch long, bucket int", ["batch", "bucket"]),
+    "postings": ("term string, doc_id {id}, tf long, dl long, folder string, batch long, bucket int", ["batch", "bucket"]),
     "documents": ("doc_id {id}, n_terms long, digest string, replaces long, batch long, folder string", ["batch", "folder"]),
     "changes": ("term string, df long, cf long, batch long", ["batch"]),
     "dictionary": ("term string, df long, cf long, bucket int", ["bucket"]),
 }
+#: Bytes of text whose postings go into one file a bucket: with 16 buckets about 4 million rows a file.
+TEXT_PER_FILE = 1 << 29
+#: So many rows of ids or terms at most are sent to every task, where they are joined.
+FEW = 1 << 20
 
 
 class Tables:
@@ -78,10 +87,24 @@ def bucket_of(config: dict):
     return F.pmod(F.xxhash64("term"), F.lit(config["buckets"])).cast("int")
 
 
-def spread(rows: DataFrame, config: dict) -> DataFrame:
-    """``files_per_bucket`` files for each bucket, sorted by term."""
-    parts = config["buckets"] * config["files_per_bucket"]
-    return rows.repartition(parts, "bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(config["files_per_bucket"]))).sortWithinPartitions("bucket", "term")
+def spread(rows: DataFrame, config: dict, by: str, files: int = 1) -> DataFrame:
+    """``files`` files for each bucket, ``files_per_bucket`` at least, a task each; dealt out by a hash of ``by`` and sorted by term."""
+    files = max(files, config["files_per_bucket"])
+    part = F.col("bucket") * files + F.pmod(F.xxhash64(by, F.lit(1)), F.lit(files)).cast("int")
+    return rows.repartitionById(config["buckets"] * files, part).sortWithinPartitions("bucket", "term")
+
+
+def few(keys: DataFrame, n: int) -> DataFrame:
+    """``keys``, sent to every task if they are few, so that what they are joined with stays where it is."""
+    return F.broadcast(keys) if n <= FEW else keys
+
+
+def newest(rows: DataFrame, doubled: DataFrame | None) -> DataFrame:
+    """One row a document: the greatest text of those ids that have several rows."""
+    if doubled is None:
+        return rows
+    last = rows.join(doubled, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("text", "folder")).alias("last"))
+    return rows.join(doubled, "doc_id", "left_anti").unionByName(last.select("doc_id", "last.text", "last.folder"))
 
 
 def index_batch(rows: DataFrame, batch: int, out: str, id_type: str, config: dict) -> None:
@@ -90,24 +113,36 @@ def index_batch(rows: DataFrame, batch: int, out: str, id_type: str, config: dic
     tables = Tables(spark, out, id_type)
     folder = F.col(f"`{config['folder']}`").cast("string") if config.get("folder") else F.lit(None).cast("string")
     read = rows.select(F.col(f"`{config['id']}`").alias("doc_id"), F.coalesce(F.col(f"`{config['text']}`"), F.lit("")).alias("text"), folder.alias("folder"))
-    log.info("batch %d: %d rows read, %d without an id", batch, rows.count(), read.filter("doc_id IS NULL").count())
-    once = read.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("text", "folder")).alias("last"))
-    found = once.select("doc_id", "last.text", "last.folder", F.sha2("last.text", 256).alias("digest")).persist()
-
-    before, own = F.col("batch") < batch, F.lit(batch).cast("long").alias("batch")
-    old = tables.read("documents").filter(before)
+    ids = read.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id IS NULL OR n > 1").persist()
+    changed = None
     try:
-        known = segments.live(old.select(F.col("batch").alias("segment"), "doc_id", F.col("digest").alias("old_digest"), F.col("folder").alias("old_folder")), replaced(old), "doc_id")
-        same = F.col("digest").eqNullSafe(F.col("old_digest")) & F.col("folder").eqNullSafe(F.col("old_folder"))
-        changed = found.join(known, "doc_id", "left").filter(~same)
-        tables.write("documents", changed.select("doc_id", F.size(tx.terms(F.col("text"))).cast("long").alias("n_terms"), "digest", F.col("segment").alias("replaces"), own, "folder"), batch)
-        # from here on the batch's own rows say what is to be done
-        listed = tables.of_batch("documents", batch)
-        postings = bm25.build_postings(found.join(listed, "doc_id", "left_semi"), "doc_id").withColumnRenamed("chunk_id", "doc_id")
-        tables.write("postings", spread(postings.select("*", own, bucket_of(config).alias("bucket")), config), batch)
+        lost, several = ids.agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))), F.count("doc_id")).first()
+        log.info("batch %d: %d rows read, %d without an id", batch, rows.count(), lost or 0)
+        found = newest(read.filter("doc_id IS NOT NULL"), few(ids.filter("doc_id IS NOT NULL").select("doc_id"), several) if several else None)
+
+        before, own = F.col("batch") < batch, F.lit(batch).cast("long").alias("batch")
+        old = tables.read("documents").filter(before)
+        first = old.isEmpty()
+        marks = found.select("doc_id", "folder", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("length"))
+        if first:
+            changed = marks.withColumn("replaces", F.lit(None).cast("long")).persist()
+        else:
+            known = live(old.select(F.col("batch").alias("segment"), "doc_id", F.col("digest").alias("old_digest"), F.col("folder").alias("old_folder")), replaced(old))
+            same = F.col("digest").eqNullSafe(F.col("old_digest")) & F.col("folder").eqNullSafe(F.col("old_folder"))
+            changed = marks.join(known, "doc_id", "left").filter(~same).select(*marks.columns, F.col("segment").alias("replaces")).persist()
+        n, length = changed.agg(F.count(F.lit(1)), F.sum("length")).first()
+        texts = found if first else found.join(few(changed.select("doc_id"), n), "doc_id", "left_semi")
+        postings = bm25.batch_postings(texts, "doc_id", keep=("folder",)).withColumnRenamed("chunk_id", "doc_id").select("*", own, bucket_of(config).alias("bucket"))
+        tables.write("postings", spread(postings, config, "doc_id", -(-(length or 0) // TEXT_PER_FILE)), batch)
+        lengths = tables.of_batch("postings", batch).groupBy("doc_id").agg(F.max("dl").alias("n_terms"))
+        listed = changed.join(lengths, "doc_id", "left").select("doc_id", F.coalesce("n_terms", F.lit(0).cast("long")).alias("n_terms"), "digest", "replaces", own, "folder")
+        tables.write("documents", listed, batch)
     finally:
-        found.unpersist()
-    gone = tables.read("postings").filter(before).withColumnRenamed("batch", "segment").join(replaced(listed), ["doc_id", "segment"], "left_semi")
+        for kept in filter(None, (ids, changed)):
+            kept.unpersist()
+    postings, dead = tables.read("postings").withColumnRenamed("batch", "segment"), replaced(tables.of_batch("documents", batch))
+    hurt = segments_of(dead)
+    gone = postings.filter(F.col("segment").isin(*hurt)).join(few(dead, sum(hurt.values())), ["doc_id", "segment"], "left_semi") if hurt else None
     tables.write("changes", segments.term_changes(tables.of_batch("postings", batch), gone).select("*", own), batch)
 
 
@@ -116,13 +151,27 @@ def replaced(documents: DataFrame) -> DataFrame:
     return documents.filter("replaces IS NOT NULL").select("doc_id", F.col("replaces").alias("segment"))
 
 
+def segments_of(dead: DataFrame) -> dict[int, int]:
+    """How many documents of which batches ``dead`` names."""
+    return {r["segment"]: r["count"] for r in dead.groupBy("segment").count().collect()}
+
+
+def live(rows: DataFrame, dead: DataFrame) -> DataFrame:
+    """``rows`` without the dead; those of batches that ``dead`` doesn't name needn't meet it."""
+    if not (hurt := segments_of(dead)):
+        return rows
+    named = F.col("segment").isin(*hurt)
+    return rows.filter(~named).unionByName(segments.live(rows.filter(named), few(dead, sum(hurt.values())), "doc_id"))
+
+
 def read(spark: SparkSession, out: str, id_type: str = "bigint") -> DataFrame:
     """The index as it stands: (doc_id, folder, term, tf, dl, df, cf), a row per term of a document."""
     tables = Tables(spark, out, id_type)
-    dead = replaced(tables.read("documents"))
-    postings, documents = (segments.live(tables.read(name).withColumnRenamed("batch", "segment"), dead, "doc_id") for name in ("postings", "documents"))
-    rows = postings.drop("bucket").join(documents.select("segment", "doc_id", "folder"), ["segment", "doc_id"])
-    return rows.join(tables.read("dictionary").drop("bucket"), "term").select("doc_id", "folder", "term", "tf", "dl", "df", "cf")
+    postings = live(tables.read("postings").withColumnRenamed("batch", "segment"), replaced(tables.read("documents")))
+    dictionary = tables.read("dictionary").drop("bucket")
+    # not sorted for a join: a term is one row there, and that side of a partition is small
+    dictionary = F.broadcast(dictionary) if dictionary.count() <= FEW else dictionary.hint("shuffle_hash")
+    return postings.select("doc_id", "folder", "term", "tf", "dl").join(dictionary, "term").select("doc_id", "folder", "term", "tf", "dl", "df", "cf")
 
 
 def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config: dict | None = None) -> int:
@@ -143,7 +192,7 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config:
     query.awaitTermination()
     tables = Tables(spark, out, id_type)
     dictionary = segments.summed_terms(tables.read("changes")).withColumn("bucket", bucket_of(config))
-    tables.write("dictionary", spread(dictionary, config))
+    tables.write("dictionary", spread(dictionary, config, "term"))
     log.info("%d batches of %s taken into %s", len(done), documents, out)
     return len(done)
 

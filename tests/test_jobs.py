@@ -12,7 +12,7 @@ import duckdb
 import pytest
 
 from jobs import document_index, registry, usage_report
-from sparkloom.operators import rollups
+from sparkloom.operators import bm25, rollups
 
 ROOT = Path(__file__).resolve().parent.parent
 DOCS = "doc_id long, text string, lang string, extra int"
@@ -118,6 +118,64 @@ def test_empty_folder_of_documents(spark, library):
     assert index(spark, out) == []
 
 
+def test_larger_batches_have_more_files_not_larger_tasks(spark, library, monkeypatch):
+    run, out = library
+    monkeypatch.setattr(document_index, "TEXT_PER_FILE", 200)
+    docs = {i: (f"w{i} x{i % 7} common y{i % 3} common", "en") for i in range(40)}
+    run([(i, *doc, 0) for i, doc in docs.items()], buckets=4)
+    assert index(spark, out) == expected(docs)
+    for folder in (out / "postings").glob("batch=0/bucket=*"):
+        files = list(folder.glob("*.parquet"))
+        assert len(files) > 1
+        for file in files:
+            terms = [r["term"] for r in spark.read.parquet(str(file)).select("term").collect()]
+            assert terms == sorted(terms)
+
+
+def test_a_bucket_is_a_task(spark):
+    rows = spark.range(64).selectExpr("concat('t', id) AS term", "CAST(id % 16 AS INT) AS bucket")
+    dealt = document_index.spread(rows, {"buckets": 16, "files_per_bucket": 1}, by="term").selectExpr("spark_partition_id() AS task", "bucket").distinct().collect()
+    assert len(dealt) == 16 and len({r["task"] for r in dealt}) == 16
+
+
+def test_reading_moves_no_postings_for_their_documents(spark, library):
+    run, out = library
+    docs = {1: ("red fish", "en"), 2: ("blue heron", "de"), 3: ("fish", None)}
+    run([(i, *doc, 0) for i, doc in docs.items()])
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        rows = document_index.read(spark, str(out))
+        assert {tuple(r) for r in rows.select("doc_id", "folder", "term", "tf", "dl", "df", "cf").collect()} == {(1, "en", "red", 1, 2, 1, 1), (1, "en", "fish", 1, 2, 2, 2), (2, "de", "blue", 1, 2, 1, 1), (2, "de", "heron", 1, 2, 1, 1), (3, None, "fish", 1, 1, 2, 2)}
+        assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_many_doubled_and_changed_documents(spark, library, monkeypatch, few):
+    run, out = library
+    monkeypatch.setattr(document_index, "FEW", few)
+    run([(i, text, "en", 0) for i in range(20) for text in (f"a{i} same", f"b{i} same")] + [(None, "lost", "en", 0), (None, "lost", "en", 0), (90, "one", "en", 0)])
+    docs = {i: (f"b{i} same", "en") for i in range(20)} | {90: ("one", "en")}
+    assert index(spark, out) == expected(docs)
+    run([(i, f"c{i} same", "de", 0) for i in range(10)] + [(19, "b19 same", "en", 0), (50, "new", "fr", 0), (50, "a new", "fr", 0)])
+    docs |= {i: (f"c{i} same", "de") for i in range(10)} | {50: ("new", "fr")}
+    assert index(spark, out) == expected(docs)
+    lengths = {r["doc_id"]: r["n_terms"] for r in spark.read.parquet(str(out / "documents")).filter("batch = 1").collect()}
+    assert lengths == {i: 2 for i in range(10)} | {50: 1}
+
+
+def test_terms_counted_by_batch_are_those_counted_by_row(spark):
+    texts = ["Red fish, red FISH", "", None, "Ünïcode ſtraße İ ΣΑΣ 東京 x² ٣", "z" * 40 + " " + "z" * 41 + " a_b a b", " \n\t.", "fish " * 500]
+    rows = spark.createDataFrame([(i, t, "f" if i % 2 else None) for i, t in enumerate(texts)], "chunk_id long, text string, folder string").na.fill("", ["text"])
+    counted = bm25.batch_postings(rows, keep=("folder",))
+    got = sorted(map(tuple, counted.select("term", "chunk_id", "tf", "dl").collect()))
+    assert got == sorted(map(tuple, bm25.build_postings(rows).collect())) and len(got) > 10
+    assert {(r["chunk_id"], r["folder"]) for r in counted.collect()} == {(r["chunk_id"], "f" if r["chunk_id"] % 2 else None) for r in counted.collect()}
+
+
 # ------------------------------------------------------------- usage
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
